@@ -131,6 +131,11 @@ class Tables:
         """Binding C: events as signalling messages."""
         return messages_from_events(self.events)
 
+    @cached_property
+    def payloads(self) -> DataFrame:
+        """Binding C2: the same messages as compact binary payloads."""
+        return payloads_from_events(self.events)
+
     @cached_property
     def anomalies(self) -> DataFrame:
         """Binding D: click, view and error events as anomalies of three sources."""
@@ -187,6 +192,27 @@ def messages_from_events(ev: DataFrame) -> DataFrame:
     )
 
 
+# tag, code per procedure of PROCS; NAS codes are per role instead
+PROC_TAGS = ["7E"] * 4 + ["2B", "2B", "3A", "3A", "1A", "1A", "1B", "1C"]
+PROC_CODES = ["00"] * 4 + ["01", "03", "01", "02", "02", "05", "02", "02"]
+NAS_OPEN, NAS_OK, NAS_FAIL = ["41", "56", "5C", "C1"], ["42", "57", "5D", "C2"], ["44", "58", "5E", "C3"]
+
+
+def payloads_from_events(ev: DataFrame) -> DataFrame:
+    i = (F.col("user_id") % 12).cast("int")
+    at = lambda values: F.get(F.array(*[F.lit(v) for v in values]), i)
+    kind = F.when(F.col("event_type").isin("signup", "view"), 0).when(F.col("event_type") == "error", 2).otherwise(1)
+    nas = F.when(kind == 0, at(NAS_OPEN)).when(kind == 1, at(NAS_OK)).otherwise(at(NAS_FAIL))
+    third = F.when(i < 4, nas).otherwise(F.lpad(kind.cast("string"), 2, "0"))
+    ident = F.lpad(F.hex("user_id"), 8, "0")
+    cause = F.lpad(F.hex(F.from_json("props", "k bigint")["k"] % 30), 2, "0")
+    text = F.concat(at(PROC_TAGS), at(PROC_CODES), third, ident)
+    text = F.when(F.col("event_id") % 50 == 0, F.substring(text, 1, 12)).when(F.col("event_id") % 10 == 0, text).otherwise(
+        F.concat(text, cause)
+    )
+    return ev.select("ts", F.col("event_id").alias("seq"), F.unhex(text).alias("payload"))
+
+
 def anomalies_from_events(ev: DataFrame) -> DataFrame:
     u, v = F.col("user_id"), F.col("value")
     return ev.where(F.col("event_type").isin(list(EVENT_SOURCE))).select(
@@ -200,7 +226,8 @@ def anomalies_from_events(ev: DataFrame) -> DataFrame:
         F.get(F.array(*[F.lit(p) for p in PROCS]), (u % 12).cast("int")).alias("procedure"),
         F.concat(F.get(F.array(*[F.lit(p) for p in PROCS]), (u % 12).cast("int")), F.lit(" anomaly")).alias("type"),
         choose(F.col("event_type"), EVENT_KPI).alias("label"),
-        F.when(F.col("event_type") == "click", "Capacity").otherwise("DL Block Error Rate").alias("category"),
+        F.when(F.col("event_type") == "click", "Capacity").when(F.col("event_type") == "view", "DL Block Error Rate")
+        .alias("category"),
         F.rint(v).alias("value"),
         F.lit("%").alias("unit"),
         F.concat(F.lit("reading near "), F.rint(v).cast("int").cast("string")).alias("evidence"),
@@ -263,7 +290,7 @@ ANOMALIES_CTE = f"""anomalies AS (
   CASE WHEN value >= 120 THEN 'Critical' WHEN value >= 60 THEN 'High' WHEN value >= 20 THEN 'Medium' ELSE 'Low' END
    AS severity, value AS score, {pick('user_id % 12', PROCS)} AS procedure,
   {pick('user_id % 12', PROCS)} || ' anomaly' AS type, {case_map('event_type', EVENT_KPI)} AS label,
-  CASE WHEN event_type = 'click' THEN 'Capacity' ELSE 'DL Block Error Rate' END AS category,
+  CASE event_type WHEN 'click' THEN 'Capacity' WHEN 'view' THEN 'DL Block Error Rate' END AS category,
   round_even(value, 0) AS value, 'reading near ' || CAST(round_even(value, 0) AS INTEGER) AS evidence,
   'Threshold' AS detector
  FROM events WHERE event_type IN ({lit_list(EVENT_SOURCE)}))"""
@@ -291,3 +318,32 @@ EVENTS_CTE = f"""{ANOMALIES_CTE}, raw_events AS (
  SELECT k.*, s.n_src - 1 AS n_correlated,
   CASE WHEN s.n_src >= 2 THEN {"round_even(s.n_src / 3.0 * 100.0, 0) / 100.0"} ELSE 0.0 END AS confidence
  FROM keyed k JOIN sources s USING (seq))"""
+
+
+PAYLOAD_CTE = f"""payloads AS (
+ SELECT ts, event_id AS seq, event_id, split_part({pick('user_id % 12', PROCS)}, '_', 1) AS layer,
+  {pick('user_id % 12', PROCS)} AS procedure, user_id,
+  CASE WHEN event_type IN ('signup', 'view') THEN 0 WHEN event_type = 'error' THEN 2 ELSE 1 END AS kind,
+  CASE WHEN event_id % 10 <> 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) % 30 END AS cause_code
+ FROM events WHERE event_id % 50 <> 0)"""
+CAUSE_CTE = values_cte(
+    "cause_dim", ["layer", "cause_code", "cause_name"],
+    [("NAS", c, n) for c, n in P.NAS_CAUSES.items()]
+    + [(layer, i, n) for layer, names in P.CAUSES.items() for i, n in enumerate(names, 1)],
+)
+COUNTS_CTE = f"""{CLASSED_CTE}, cc AS (
+ SELECT procedure, {{by}} CASE WHEN outcome = 'timeout' THEN 'timeout' WHEN outcome = 'failure' THEN coalesce(cause, 'unknown') END AS cause,
+  sum((class = 'open')::INT) AS att, sum((outcome = 'success')::INT) AS ok, sum((outcome IN ('failure', 'timeout'))::INT) AS bad
+ FROM outcomes WHERE outcome <> 'orphan' GROUP BY ALL), pc AS (
+ SELECT procedure, {{by}} sum(att) AS attempts, sum(ok) AS success, sum(bad) AS failure,
+  count(cause) AS n_causes, coalesce(max(CASE WHEN cause IS NOT NULL THEN bad END), 0) AS top_n,
+  coalesce(max(CASE WHEN cause = 'timeout' THEN bad END), 0) AS timeouts,
+  arg_min(cause, (-bad, cause)) FILTER (WHERE cause IS NOT NULL) AS top_cause,
+  coalesce(string_agg(cause || '=' || CAST(bad AS BIGINT), ';' ORDER BY cause), '') AS causes,
+  split_part(procedure, '_', 1) AS layer,
+  CASE WHEN sum(att) = 0 THEN 0.0 ELSE round_even(sum(ok) / sum(att) * 100 * 100.0, 0) / 100.0 END AS success_rate
+ FROM cc GROUP BY ALL)"""
+
+
+def counts_cte(by: str = "") -> str:
+    return COUNTS_CTE.replace("{by}", f"{by}," if by else "")
