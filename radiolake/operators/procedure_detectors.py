@@ -14,6 +14,7 @@ from radiolake.catalogue import protocol as P
 from radiolake.functions import ordered as O
 from radiolake.functions.columns import rnd, severity_rank
 from radiolake.operators.signalling import TIMEOUT, top_cause
+from radiolake.session import cut_lineage
 
 FEATURES = [
     "success_rate", "failure_rate", "attempt_share", "failure_count", "cause_diversity", "top_cause_concentration",
@@ -116,52 +117,68 @@ def detect_cascades(counters: DataFrame, scope: Sequence[str] = (), max_rate: fl
 
 # ---------------------------------------------------------------- scores over feature rows
 
-def standardised(feats: DataFrame, scope: Sequence[str] = (), cols: Sequence[str] = FEATURES) -> DataFrame:
-    """Zero mean, unit population deviation per scope; constant features become 0.  Adds column ``x``."""
-    scope = list(scope)
-    stats = feats.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("_n"),
+def _scaled(cols: Sequence[str], mean, dev) -> Column:
+    return F.array(
+        *[F.when(dev(c) > 1e-12, (F.col(c) - mean(c)) / F.nullif(dev(c), F.lit(0.0))).otherwise(0.0) for c in cols]
+    )
+
+
+def standardised(feats: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
+    """Zero mean, unit population deviation over all rows; constant features become 0.  Adds ``x``."""
+    stats = feats.agg(
+        F.count(F.lit(1)).alias("scope_n"),
         *[F.avg(c).alias(f"_m_{c}") for c in cols],
         *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols],
     )
-    j = feats.join(stats, scope) if scope else feats.join(F.broadcast(stats))
-    z = [
-        F.when(F.col(f"_s_{c}") > 1e-12, (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0))).otherwise(0.0)
-        for c in cols
-    ]
-    return j.withColumn("x", F.array(*z)).withColumnRenamed("_n", "scope_n").drop(
-        *[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols]
-    )
+    x = _scaled(cols, lambda c: F.col(f"_m_{c}"), lambda c: F.col(f"_s_{c}"))
+    j = feats.join(F.broadcast(stats)).withColumn("x", x)
+    return j.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
 
 
-def _flag(scored: DataFrame, raw: str, scope: Sequence[str], share: float, detector: str, name: str) -> DataFrame:
-    """Highest ``share`` of raw scores, min-max scaled for severity."""
-    scope = list(scope)
-    cut = O.exact_percentiles(scored, scope, raw, [1.0 - share]).select(*scope, F.col("p0").alias("_cut"))
-    ends = scored.groupBy(*scope).agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
-    if scope:
-        j = scored.join(cut, scope).join(ends, scope)
-    else:
-        j = scored.join(F.broadcast(cut)).join(F.broadcast(ends))
+def scope_vectors(feats: DataFrame, scope: Sequence[str] = (), cols: Sequence[str] = FEATURES) -> DataFrame:
+    """Scaled vectors ``x`` and the list ``_all`` of the scope's vectors.
+
+    A scope (a capture, a cell, an hour) has one row per procedure name, so its
+    window is bounded by the number of names whatever the number of messages;
+    scopes spread over the cluster and everything below needs this one shuffle.
+    """
+    w = Window.partitionBy(*scope)
+    x = _scaled(cols, lambda c: F.avg(c).over(w), lambda c: F.stddev_pop(c).over(w))
+    z = feats.withColumns({"x": x, "scope_n": F.count(F.lit(1)).over(w)})
+    return z.withColumn("_all", F.sort_array(F.collect_list(F.struct("procedure", "x")).over(w)))
+
+
+def _severity(norm: Column) -> Column:
+    return F.when(norm > 0.75, "High").when(norm > 0.5, "Medium").otherwise("Low")
+
+
+def _flagged(j: DataFrame, raw: str, detector: str, name: str, scope: Sequence[str] = ()) -> DataFrame:
+    """Rows above the cut, min-max scaled for severity (columns _cut, _lo, _hi given)."""
     j = j.where(F.col(raw) > F.col("_cut")).withColumn(
         "_norm", (F.col(raw) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-10)
     )
-    sev = F.when(F.col("_norm") > 0.75, "High").when(F.col("_norm") > 0.5, "Medium").otherwise("Low")
     text = F.format_string(f"success_rate=%.1f%%; failures=%d; {name}=%.4f", F.col("success_rate"), F.col("failure"), F.col(raw))
     extra = [raw, *[s for s in scope if s not in COLUMNS]]
-    return _emit(j, detector, sev, F.col("_norm"), text, extra=extra)
+    return _emit(j, detector, _severity(F.col("_norm")), F.col("_norm"), text, extra=extra)
+
 
+def _flag_scope(scored: DataFrame, raw: str, scope: Sequence[str], share: float, detector: str, name: str) -> DataFrame:
+    w = Window.partitionBy(*scope)
+    j = scored.withColumns(
+        {
+            "_cut": F.percentile(raw, F.lit(1.0 - share)).over(w),
+            "_lo": F.min(raw).over(w),
+            "_hi": F.max(raw).over(w),
+        }
+    )
+    return _flagged(j, raw, detector, name, scope)
 
-def _peers(z: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Attach the other procedures' vectors of the scope.
 
-    A scope holds one row per procedure name, so its list is bounded by the
-    number of procedure names, whatever the number of messages.
-    """
-    scope = list(scope)
-    lists = z.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("procedure", "x"))).alias("_all"))
-    j = z.join(lists, scope) if scope else z.join(F.broadcast(lists))
-    return j.withColumn("_peers", F.filter("_all", lambda p: p["procedure"] != F.col("procedure"))).drop("_all")
+def _flag_all(scored: DataFrame, raw: str, share: float, detector: str, name: str) -> DataFrame:
+    """Cut over any number of rows: exact rank search, no gathering."""
+    cut = O.exact_percentiles(scored, (), raw, [1.0 - share]).select(F.col("p0").alias("_cut"))
+    ends = scored.agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
+    return _flagged(scored.join(F.broadcast(cut)).join(F.broadcast(ends)), raw, detector, name)
 
 
 def _sqdist(a: Column, b: Column) -> Column:
@@ -170,41 +187,37 @@ def _sqdist(a: Column, b: Column) -> Column:
 
 def local_outlier_factor(feats: DataFrame, scope: Sequence[str] = (), k: int = 5) -> DataFrame:
     """Ratio of the neighbours' local density to the own one, per procedure within its scope."""
-    scope = list(scope)
-    z = _peers(standardised(feats, scope), scope).where(F.col("scope_n") >= 4)
+    w = Window.partitionBy(*scope)
+    z = scope_vectors(feats, scope).where(F.col("scope_n") >= 4)
+    others = F.filter("_all", lambda p: p["procedure"] != F.col("procedure"))
     dists = F.array_sort(
-        F.transform("_peers", lambda p: F.struct(F.sqrt(_sqdist(F.col("x"), p["x"])).alias("d"), p["procedure"].alias("q")))
+        F.transform(others, lambda p: F.struct(F.sqrt(_sqdist(F.col("x"), p["x"])).alias("d"), p["procedure"].alias("q")))
     )
     kk = F.least(F.lit(k), F.col("scope_n").cast("int") - 1)
-    z = z.withColumn("_nn", F.slice(dists, F.lit(1), kk)).drop("_peers")
-    z = z.withColumn("_kd", F.element_at("_nn", -1)["d"])
-    kd = z.groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("procedure", "_kd"))).alias("_kds"))
-    j = z.join(kd, scope) if scope else z.join(F.broadcast(kd))
-    reach = F.aggregate(
-        "_nn", F.lit(0.0), lambda s, n: s + F.greatest(n["d"], F.element_at("_kds", n["q"]))
-    ) / F.size("_nn")
-    j = j.withColumn("_lrd", 1.0 / (reach + 1e-10)).drop("_kds")
-    dens = j.groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("procedure", "_lrd"))).alias("_lrds"))
-    j = j.join(dens, scope) if scope else j.join(F.broadcast(dens))
-    mean = F.aggregate("_nn", F.lit(0.0), lambda s, n: s + F.element_at("_lrds", n["q"])) / F.size("_nn")
-    return j.withColumn("lof", mean / F.col("_lrd")).drop("_nn", "_kd", "_lrd", "_lrds", "x", "scope_n")
+    z = z.withColumn("_nn", F.slice(dists, F.lit(1), kk)).withColumn("_kd", F.element_at("_nn", -1)["d"])
+    as_map = lambda c: F.map_from_entries(F.collect_list(F.struct("procedure", c)).over(w))
+    mean = lambda f: F.aggregate("_nn", F.lit(0.0), lambda s, n: s + f(n)) / F.size("_nn")
+    z = z.withColumn("_kds", as_map("_kd"))
+    z = z.withColumn("_lrd", 1.0 / (mean(lambda n: F.greatest(n["d"], F.element_at("_kds", n["q"]))) + 1e-10))
+    z = z.withColumn("_lrds", as_map("_lrd"))
+    z = z.withColumn("lof", mean(lambda n: F.element_at("_lrds", n["q"])) / F.col("_lrd"))
+    return z.drop("_all", "_nn", "_kd", "_kds", "_lrd", "_lrds", "x", "scope_n")
 
 
 def detect_lof(feats: DataFrame, scope: Sequence[str] = (), k: int = 5, contamination: float = 0.15) -> DataFrame:
-    return _flag(local_outlier_factor(feats, scope, k), "lof", scope, contamination, "LOF", "LOF")
+    return _flag_scope(local_outlier_factor(feats, scope, k), "lof", scope, contamination, "LOF", "LOF")
 
 
 def kernel_isolation(feats: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """One minus the mean RBF similarity to all procedures of the scope (gamma from the feature variance)."""
-    scope = list(scope)
-    z = _peers(standardised(feats, scope), scope).where(F.col("scope_n") >= 3)
+    z = scope_vectors(feats, scope).where(F.col("scope_n") >= 3)
     gamma = 1.0 / len(FEATURES)  # scaled features have unit variance
-    total = F.aggregate("_peers", F.lit(1.0), lambda s, p: s + F.exp(-gamma * _sqdist(F.col("x"), p["x"])))
-    return z.withColumn("isolation", 1.0 - total / F.col("scope_n")).drop("_peers", "x", "scope_n")
+    total = F.aggregate("_all", F.lit(0.0), lambda s, p: s + F.exp(-gamma * _sqdist(F.col("x"), p["x"])))
+    return z.withColumn("isolation", 1.0 - total / F.col("scope_n")).drop("_all", "x", "scope_n")
 
 
 def detect_kernel(feats: DataFrame, scope: Sequence[str] = (), nu: float = 0.15) -> DataFrame:
-    return _flag(kernel_isolation(feats, scope), "isolation", scope, nu, "One-Class SVM", "isolation")
+    return _flag_scope(kernel_isolation(feats, scope), "isolation", scope, nu, "One-Class SVM", "isolation")
 
 
 def robust_distance(feats: DataFrame, steps: int = 3, cols: Sequence[str] = FEATURES) -> DataFrame:
@@ -214,9 +227,9 @@ def robust_distance(feats: DataFrame, steps: int = 3, cols: Sequence[str] = FEAT
     numbers reach the driver) and one exact rank cut keeping the closest rows.
     """
     p = len(cols)
-    z = standardised(feats, (), cols)
-    z = z.select("*", *[F.get("x", F.lit(i)).alias(f"_z{i}") for i in range(p)])
-    kept = z
+    z = standardised(feats, cols)
+    z = cut_lineage(z.select("*", *[F.get("x", F.lit(i)).alias(f"_z{i}") for i in range(p)]), "envelope")
+    kept, share = z, 1.0
     for step in range(steps):
         moments = kept.agg(
             F.count(F.lit(1)).alias("n"),
@@ -232,15 +245,15 @@ def robust_distance(feats: DataFrame, steps: int = 3, cols: Sequence[str] = FEAT
         terms = [float(inv[i, j] * (1 if i == j else 2)) * d[i] * d[j] for i in range(p) for j in range(i, p)]
         z = z.withColumn("mahalanobis2", reduce(lambda a, b: a + b, terms))
         if step < steps - 1:
-            h = (moments["n"] + p + 1) / 2 / moments["n"] if step == 0 else None
-            share = h if h is not None else share  # noqa: F821
+            if step == 0:
+                share = (moments["n"] + p + 1) / 2 / moments["n"]
             cut = O.exact_percentiles(z, (), "mahalanobis2", [min(share, 1.0)])
             kept = z.join(F.broadcast(cut.select(F.col("p0").alias("_cut")))).where(F.col("mahalanobis2") <= F.col("_cut"))
     return z.drop(*[f"_z{i}" for i in range(p)], "x", "scope_n")
 
 
 def detect_envelope(feats: DataFrame, contamination: float = 0.10, steps: int = 3) -> DataFrame:
-    return _flag(robust_distance(feats, steps), "mahalanobis2", (), contamination, "Elliptic Envelope", "Mahalanobis2")
+    return _flag_all(robust_distance(feats, steps), "mahalanobis2", contamination, "Elliptic Envelope", "Mahalanobis2")
 
 
 # ---------------------------------------------------------------- isolation forest
@@ -341,10 +354,10 @@ def forest_scores(z: DataFrame, forest: DataFrame, trees: int = 200) -> DataFram
 def detect_forest(feats: DataFrame, key: Sequence[str] = ("procedure",), contamination: float = 0.15, trees: int = 200,
                   seed: int = 42) -> DataFrame:
     """Isolation forest over all feature rows; needs three rows."""
-    z = standardised(feats).where(F.col("scope_n") >= 3)
+    z = cut_lineage(standardised(feats).where(F.col("scope_n") >= 3), "forest-rows")
     forest = fit_forest(z, F.concat_ws("|", *key), trees, seed)
-    scored = forest_scores(z, forest, trees).drop("x", "scope_n")
-    return _flag(scored, "forest_score", (), contamination, "Isolation Forest", "forest_score")
+    scored = cut_lineage(forest_scores(z, forest, trees).drop("x", "scope_n"), "forest-scores")
+    return _flag_all(scored, "forest_score", contamination, "Isolation Forest", "forest_score")
 
 
 # ---------------------------------------------------------------- sequences

@@ -255,7 +255,7 @@ def psq2(t: Tables):
     return _surprise(t).select("conv_id", "turn", rnd("error", 4).alias("error"))
 
 
-@query("psq2_flags", f"""WITH {SURPRISE}, c AS (SELECT avg(error) + 1.0 * stddev_pop(error) AS cut FROM sc) SELECT conv_id, turn,
+@query("psq2_flags", f"""WITH {SURPRISE}, c AS (SELECT avg(error) + 0.5 * stddev_pop(error) AS cut FROM sc) SELECT conv_id, turn,
  CASE WHEN {r('error / (cut + 1e-10)', 3)} > 2 THEN 'High' WHEN {r('error / (cut + 1e-10)', 3)} > 1.5 THEN 'Medium' ELSE 'Low' END AS severity FROM sc, c WHERE error > cut""")
 def psq2_flags(t: Tables):
-    return D.detect_sequences(_surprise(t), z_score=1.0).select("conv_id", "turn", "severity")
+    return D.detect_sequences(_surprise(t), z_score=0.5).select("conv_id", "turn", "severity")
