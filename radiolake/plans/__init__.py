@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["kpi_queries", "explore_queries", "counter_queries", "signalling_queries", "event_queries", "forecast_queries"]
+MODULES = ["kpi_queries", "explore_queries", "counter_queries", "signalling_queries", "event_queries", "forecast_queries", "streaming_queries", "insight_queries"]
 
 
 def load_queries():
