@@ -190,8 +190,9 @@ def chunks(t: Tables):
 
 def _bm25(queries: str, docs: str, k: int) -> str:
     words = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
-    return f"""bq AS (SELECT DISTINCT query_id, unnest({words('text')}) AS term FROM {queries}), bd AS (SELECT doc_id, len({words('text')}) AS dl, unnest({words('text')}) AS term FROM {docs}),
- bn AS (SELECT count(*) AS n, avg(len({words('text')})) AS al FROM {docs}), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM bd WHERE term IN (SELECT term FROM bq) GROUP BY ALL), dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    return f"""bq AS MATERIALIZED (SELECT DISTINCT query_id, unnest({words('text')}) AS term FROM {queries}), bw AS MATERIALIZED (SELECT doc_id, {words('text')} AS w FROM {docs}),
+ bd AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM bw), bn AS (SELECT count(*) AS n, avg(len(w)) AS al FROM bw),
+ tf AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM bd WHERE term IN (SELECT term FROM bq) GROUP BY ALL), dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
  bs AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))) AS raw FROM bq JOIN tf USING (term) JOIN dfq USING (term), bn GROUP BY ALL),
  bm AS (SELECT query_id, doc_id, {r('raw', 4)} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {r('raw', 6)} DESC, doc_id) AS rank FROM bs QUALIFY rank <= {k})"""
 

@@ -47,11 +47,11 @@ def rows_of(columns, rows):
     return sorted(tuple(canon(row[i]) for i in order) for row in rows)
 
 
-def compare(df, con, sql):
+def compare(df, con, sql, rows=None):
+    got = rows_of(df.columns, [tuple(x) for x in (df.collect() if rows is None else rows)])
     cur = con.execute(sql)
     dcols = [d[0] for d in cur.description]
     want = rows_of(dcols, cur.fetchall())
-    got = rows_of(df.columns, [tuple(x) for x in df.collect()])
     if sorted(df.columns) != sorted(dcols):
         return f"columns differ: {sorted(df.columns)} vs {sorted(dcols)}", len(got)
     if got != want:
@@ -75,18 +75,21 @@ def main():
     bad = 0
     names = [n for n in queries if not args.names or any(n.startswith(p) for p in args.names)]
     for name in names:
-        t = time.time()
+        t, spent = time.time(), 0.0
         try:
             df = queries[name](spark, args.sf)
             if name in sqls:
-                diff, n = compare(df, con, sqls[name])
+                rows = df.collect()
+                spent = time.time() - t
+                diff, n = compare(df, con, sqls[name], rows)
             else:
                 diff, n = "", len(df.collect())
+                spent = time.time() - t
         except Exception as e:  # noqa: BLE001
             diff, n = f"ERROR {type(e).__name__}: {str(e)[:700]}", -1
         mark = "ok " if not diff else "BAD"
         bad += bool(diff)
-        print(f"{mark} {name:10s} rows={n:<7d} {'sql' if name in sqls else '---'} {time.time() - t:5.1f}s {diff}", flush=True)
+        print(f"{mark} {name:10s} rows={n:<7d} {'sql' if name in sqls else '---'} spark {spent:5.1f}s sql {time.time() - t - spent:5.1f}s {diff}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
 
 
