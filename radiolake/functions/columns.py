@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ("Critical", "High", "Medium", "Low")
@@ -50,6 +50,16 @@ def contains_any(text: Column, words: list[str] | tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
+def row_of(df: DataFrame) -> Column:
+    """The single row of a global aggregate as a struct column (scalar subquery, no join)."""
+    return df.select(F.struct("*").alias("row")).scalar()
+
+
+def hours(ts: Column | str) -> Column:
+    """Hours since 2020 as double; slopes do not depend on the origin and a near one keeps digits."""
+    return (seconds(ts) - 1_577_836_800.0) / 3600.0
+
+
 def seconds(ts: Column | str) -> Column:
     """Epoch seconds as double with microsecond resolution."""
     c = F.col(ts) if isinstance(ts, str) else ts

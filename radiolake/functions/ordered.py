@@ -80,14 +80,19 @@ def neighbours(
     order: Sequence[str],
     prev: Mapping[str, str] | None = None,
     nxt: Mapping[str, str] | None = None,
+    number: bool = False,
 ) -> DataFrame:
     """Value of a column in the row before / after, across slice edges.
 
-    ``prev`` and ``nxt`` map new column -> source column.
+    ``prev`` and ``nxt`` map new column -> source column; ``number`` adds the
+    row number ``rn`` and count ``n`` of the series in the same pass.
     """
     prev, nxt = dict(prev or {}), dict(nxt or {})
     at = [*keys, SLICE]
     aggs, cols = [], list(at)
+    if number:
+        aggs.append(F.count(F.lit(1)).alias("_size"))
+        cols += [F.coalesce(F.sum("_size").over(_before(keys)), F.lit(0)).alias("_base"), F.sum("_size").over(_all(keys)).alias("n")]
     by_slice = Window.partitionBy(*keys).orderBy(SLICE)
     if prev:
         aggs.append(F.max_by(F.struct(*[F.col(s).alias(n) for n, s in prev.items()]), _order(order)).alias("_last"))
@@ -108,6 +113,7 @@ def neighbours(
         *df.columns,
         *[F.col(f"_p.{n}").alias(n) for n in prev],
         *[F.col(f"_q.{n}").alias(n) for n in nxt],
+        *([(F.col("_base") + F.row_number().over(w)).alias("rn"), "n"] if number else []),
     )
     return out
 

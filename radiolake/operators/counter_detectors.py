@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from radiolake.catalogue import counters as C
 from radiolake.functions import ordered as O
-from radiolake.functions.columns import seconds, severity_rank, rnd
+from radiolake.functions.columns import hours, rnd, severity_rank
 
 THRESHOLD, PEER, TREND, IQR, CUSUM, BOLLINGER = (
     "Threshold", "Peer Comparison", "Trend", "IQR", "CUSUM", "Bollinger Bands"
@@ -89,9 +89,7 @@ def detect_peers(facts: DataFrame, z_threshold: float = 2.0, z_high: float = 3.0
 def detect_trend(facts: DataFrame, slope_threshold: float = 0.3, slope_high: float = 1.0, min_points: int = 8,
                  dim: DataFrame | None = None, calendar: bool = False) -> DataFrame:
     """Slope per (metric, cell) in units per hour, either direction; value is the last reading."""
-    timed = facts.where(F.col("ts").isNotNull())
-    start = timed.agg(F.min(seconds("ts"))).scalar()
-    rows = _facts(timed, calendar).withColumn("x", (seconds("ts") - start) / 3600.0)
+    rows = _facts(facts.where(F.col("ts").isNotNull()), calendar).withColumn("x", hours("ts"))
     fit = rows.groupBy("metric", "cell_id").agg(
         F.regr_slope("value", "x").alias("slope"),
         F.max_by("value", "seq").alias("value"),

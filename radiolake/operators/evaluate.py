@@ -144,9 +144,12 @@ def lead_time(series: DataFrame, truth: DataFrame, freq: DataFrame | None = None
     grid = truth.where(count >= 1).withColumn("slot", F.explode(F.sequence(F.lit(0), count - 1))).withColumn(
         "check_h", 0.5 + F.col("slot") * 2 * check_step_h
     )
-    other = truth.select(*KEYS, F.col("start_h").alias("_s"), F.col("end_h").alias("_e"))
-    hit = (F.col("check_h") >= F.col("_s") - horizon_h) & (F.col("check_h") <= F.col("_e"))
-    grid = grid.join(other, KEYS).groupBy("truth_id", "slot", "check_h").agg(F.bool_or(hit).alias("_near")).where(~F.col("_near"))
+    # a check is near a fault when some window that has begun by then has not ended: a running maximum of ends
+    marks = grid.select(*KEYS, F.col("check_h").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_end"), "truth_id", "slot", "check_h")
+    begun = truth.select(*KEYS, (F.col("start_h") - horizon_h).alias("_at"), F.lit(0).alias("_kind"), F.col("end_h").cast("double").alias("_end"))
+    so_far = Window.partitionBy(*KEYS).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    grid = begun.unionByName(marks, allowMissingColumns=True).withColumn("_open", F.max("_end").over(so_far))
+    grid = grid.where((F.col("_kind") == 1) & ~F.coalesce(F.col("_open") >= F.col("_at"), F.lit(False)))
     first = F.row_number().over(Window.partitionBy("truth_id").orderBy("slot"))
     grid = grid.withColumn("_r", first).where(F.col("_r") <= max_clean).select("truth_id", "slot", "check_h")
     late = j.withColumn("slot", F.greatest(F.lit(0), F.ceil((F.col("x") - 0.5) / (2 * check_step_h) - eps)).cast("int"))
@@ -213,8 +216,8 @@ def count_outliers(anomalies: DataFrame, z: float = 1.5) -> DataFrame:
     counts = anomalies.select(cell.alias("cell_id")).where(~F.col("cell_id").isin(NOT_A_CELL)).groupBy("cell_id").agg(
         F.count(F.lit(1)).alias("n")
     )
-    cut = counts.agg((F.avg("n") + z * F.stddev_pop("n")).alias("cut"))
-    return counts.join(F.broadcast(cut)).where(F.col("n") > F.col("cut")).select("cell_id")
+    cut = counts.agg(F.avg("n") + z * F.stddev_pop("n")).scalar()
+    return counts.where(F.col("n") > cut).select("cell_id")
 
 
 def marked(detected: DataFrame, fault: DataFrame, cells: DataFrame) -> DataFrame:
@@ -308,8 +311,8 @@ def evidence_groups(events: DataFrame, cells: DataFrame, size: int = 5, fleet: s
     sparse = wanted.join(
         own.groupBy("cell_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= size), "cell_id", "left_anti"
     )
-    shared = events.where(F.col("cell_id") == fleet).orderBy(*order).limit(size)
-    extra = shared.join(F.broadcast(sparse.select(F.col("cell_id").alias("group_cell"))))
+    shared = events.where(F.col("cell_id") == fleet).orderBy(*order).limit(size).agg(F.collect_list(F.struct(*events.columns))).scalar()
+    extra = sparse.select(F.col("cell_id").alias("group_cell"), F.inline(shared))
     both = own.unionByName(extra)
     first = Window.partitionBy("group_cell").orderBy(severity_rank().desc(), (F.col("cell_id") == fleet).asc(), F.col("seq").asc())
     return both.withColumn("position", F.row_number().over(first)).where(F.col("position") <= size)

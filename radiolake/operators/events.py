@@ -83,9 +83,9 @@ def dedupe(events: DataFrame) -> DataFrame:
     return out.withColumn("event_id", ident).select(*EVENT)
 
 
-def event_log(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union of event frames, deduplicated."""
-    parts = [p.withColumn("raw", F.to_json("raw")) for p in parts]
+def event_log(parts: Sequence[DataFrame], keep_raw: bool = True) -> DataFrame:
+    """Union of event frames, deduplicated; without the source rows the shuffle is narrower."""
+    parts = [p.withColumn("raw", F.to_json("raw") if keep_raw else F.lit(None).cast("string")) for p in parts]
     return dedupe(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
@@ -197,8 +197,10 @@ def related_events(events: DataFrame, wanted: DataFrame, window_h: float = 1.0)
         .where(F.abs(seconds("ts") - seconds("focus_ts")) <= w)
         .select("focus_id", "cell_id", *keep)
     )
-    open_ended = focus.join(events, "cell_id").where(F.col("ts").isNull() | F.col("focus_ts").isNull())
-    both = near.unionByName(open_ended.select("focus_id", "cell_id", *keep))
+    cols = ["focus_id", "cell_id", *keep]
+    open_focus = focus.where(F.col("focus_ts").isNull()).join(events.where(F.col("ts").isNotNull()), "cell_id").select(*cols)
+    open_event = focus.join(events.where(F.col("ts").isNull()), "cell_id").select(*cols)
+    both = near.unionByName(open_focus).unionByName(open_event)
     return both.where(F.col("focus_id") != F.col("event_id"))
 
 

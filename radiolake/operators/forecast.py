@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from radiolake.catalogue import counters as C
 from radiolake.catalogue import kpi as K
 from radiolake.functions import ordered as O
-from radiolake.functions.columns import contains_any, rnd, seconds
+from radiolake.functions.columns import contains_any, hours, rnd
 from radiolake.operators.derive import sampling_interval
 
 KEYS = ["cell_id", "kpi"]
@@ -35,8 +35,8 @@ def horizon_periods(freq_s: Column, horizon_h: float = HORIZON_H) -> Column:
 
 
 def with_horizon(df: DataFrame, freq: DataFrame, horizon_h: float = HORIZON_H) -> DataFrame:
-    """Attach the sampling interval (one row) and the number of periods ahead."""
-    return df.join(F.broadcast(freq)).withColumn("h", horizon_periods(F.col("freq_s"), horizon_h))
+    """Attach the sampling interval (a one-row frame, read as a scalar) and the number of periods ahead."""
+    return df.withColumn("freq_s", freq.scalar()).withColumn("h", horizon_periods(F.col("freq_s"), horizon_h))
 
 
 # ---------------------------------------------------------------- trend with band
@@ -46,9 +46,7 @@ def forecast_trend(series: DataFrame, freq: DataFrame | None = None, horizon_h:
     """Straight-line trend over time with a 95 % band from the residuals; one row per series."""
     rows = known(series)
     freq = freq if freq is not None else sampling_interval(series)
-    x = seconds("ts") / 3600.0
-    start = rows.agg(F.min(x)).scalar()
-    fit = rows.withColumn("x", x - start).groupBy(*KEYS).agg(
+    fit = rows.withColumn("x", hours("ts")).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"),
         F.regr_slope("value", "x").alias("slope"),
         F.regr_intercept("value", "x").alias("icept"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from radiolake.catalogue import kpi as K
 from radiolake.functions import ordered as O
-from radiolake.functions.columns import limit_severity, rnd, seconds, severity_rank
+from radiolake.functions.columns import hours, limit_severity, rnd, seconds, severity_rank
 from radiolake.operators.derive import capacity_map, capacity_share
 
 THRESHOLD, PEER, TREND = "Threshold", "Peer Comparison", "Trend (linear regression)"
@@ -146,7 +146,7 @@ def sustained_load(facts: DataFrame, kpi: str = K.PRB_DL, gap_s: float = 90.0, m
     ).where(F.col("sev").isNotNull())
     hits = O.sliced(hits, "ts", width_s)
     keys, order = ["cell_id"], ["ts", "seq"]
-    hits = O.neighbours(O.ordinal(hits, keys, order), keys, order, prev={"_before": "ts"})
+    hits = O.neighbours(hits, keys, order, prev={"_before": "ts"}, number=True)
     gap = seconds("ts") - seconds("_before")
     starts = F.when(F.coalesce(gap > gap_s, F.lit(True)), F.col("rn"))
     hits = O.running(hits, keys, order, {"run": ("max", starts)})
@@ -220,9 +220,7 @@ def detect_peers(facts: DataFrame, z_threshold: float = 2.0, z_high: float = 3.0
 def detect_trend(facts: DataFrame, slope_threshold: float = 0.5, slope_high: float = 2.0, min_points: int = 5,
                  dim: DataFrame | None = None) -> DataFrame:
     """Least-squares slope per KPI over all cells, in units per hour; only degrading slopes."""
-    timed = facts.where(F.col("ts").isNotNull())
-    start = timed.agg(F.min(seconds("ts"))).scalar()
-    known = timed.where(F.col("value").isNotNull()).withColumn("x", (seconds("ts") - start) / 3600.0)
+    known = facts.where(F.col("ts").isNotNull() & F.col("value").isNotNull()).withColumn("x", hours("ts"))
     fit = known.groupBy("kpi").agg(
         F.regr_slope("value", "x").alias("slope"),
         F.regr_intercept("value", "x").alias("icept"),
@@ -244,7 +242,7 @@ def detect_trend(facts: DataFrame, slope_threshold: float = 0.5, slope_high: flo
         }
     )
     text = F.concat(
-        "label", F.lit(": slope="), _num("slope", 3), "unit", F.lit("/hr over "), _num("x1", 1), F.lit("hrs (est. "),
+        "label", F.lit(": slope="), _num("slope", 3), "unit", F.lit("/hr over "), _num(F.col("x1") - F.col("x0"), 1), F.lit("hrs (est. "),
         _num("start_est"), F.lit("→"), _num("end_est"), "unit", F.lit(")"),
     )
     return emit(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from radiolake.catalogue import protocol as P
 from radiolake.functions import ordered as O
-from radiolake.functions.columns import rnd, severity_rank
+from radiolake.functions.columns import rnd, row_of, severity_rank
 from radiolake.operators.signalling import TIMEOUT, top_cause
 from radiolake.session import cut_lineage
 
@@ -35,8 +35,11 @@ def features(counters: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     scope = list(scope)
     n = F.greatest("failure", F.lit(1)).cast("double")
     counts = F.map_values("failure_causes")
-    totals = counters.groupBy(*scope).agg(F.greatest(F.sum("attempts"), F.lit(1)).alias("_total"))
-    joined = counters.join(totals, scope) if scope else counters.join(F.broadcast(totals))
+    total = F.greatest(F.sum("attempts"), F.lit(1)).alias("_total")
+    if scope:
+        joined = counters.join(counters.groupBy(*scope).agg(total), scope)
+    else:
+        joined = counters.withColumn("_total", counters.agg(total).scalar())
     return joined.withColumns(
         {
             "failure_rate": 100.0 - F.col("success_rate"),
@@ -125,14 +128,14 @@ def _scaled(cols: Sequence[str], mean, dev) -> Column:
 
 def standardised(feats: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
     """Zero mean, unit population deviation over all rows; constant features become 0.  Adds ``x``."""
-    stats = feats.agg(
-        F.count(F.lit(1)).alias("scope_n"),
+    stats = row_of(feats.agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.avg(c).alias(f"_m_{c}") for c in cols],
         *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols],
-    )
-    x = _scaled(cols, lambda c: F.col(f"_m_{c}"), lambda c: F.col(f"_s_{c}"))
-    j = feats.join(F.broadcast(stats)).withColumn("x", x)
-    return j.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+    ))
+    x = _scaled(cols, lambda c: F.col(f"_st._m_{c}"), lambda c: F.col(f"_st._s_{c}"))
+    j = feats.withColumn("_st", stats)
+    return j.withColumns({"x": x, "scope_n": F.col("_st.n")}).drop("_st")
 
 
 def scope_vectors(feats: DataFrame, scope: Sequence[str] = (), cols: Sequence[str] = FEATURES) -> DataFrame:
@@ -176,9 +179,10 @@ def _flag_scope(scored: DataFrame, raw: str, scope: Sequence[str], share: float,
 
 def _flag_all(scored: DataFrame, raw: str, share: float, detector: str, name: str) -> DataFrame:
     """Cut over any number of rows: exact rank search, no gathering."""
-    cut = O.exact_percentiles(scored, (), raw, [1.0 - share]).select(F.col("p0").alias("_cut"))
-    ends = scored.agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
-    return _flagged(scored.join(F.broadcast(cut)).join(F.broadcast(ends)), raw, detector, name)
+    cut = O.exact_percentiles(scored, (), raw, [1.0 - share]).select("p0").scalar()
+    ends = row_of(scored.agg(F.min(raw).alias("lo"), F.max(raw).alias("hi")))
+    j = scored.withColumns({"_cut": cut, "_ends": ends})
+    return _flagged(j.withColumns({"_lo": F.col("_ends.lo"), "_hi": F.col("_ends.hi")}), raw, detector, name)
 
 
 def _sqdist(a: Column, b: Column) -> Column:
@@ -247,8 +251,8 @@ def robust_distance(feats: DataFrame, steps: int = 3, cols: Sequence[str] = FEAT
         if step < steps - 1:
             if step == 0:
                 share = (moments["n"] + p + 1) / 2 / moments["n"]
-            cut = O.exact_percentiles(z, (), "mahalanobis2", [min(share, 1.0)])
-            kept = z.join(F.broadcast(cut.select(F.col("p0").alias("_cut")))).where(F.col("mahalanobis2") <= F.col("_cut"))
+            cut = O.exact_percentiles(z, (), "mahalanobis2", [min(share, 1.0)]).select("p0").scalar()
+            kept = z.where(F.col("mahalanobis2") <= cut)
     return z.drop(*[f"_z{i}" for i in range(p)], "x", "scope_n")
 
 
@@ -440,10 +444,11 @@ def transition_surprise(rows: DataFrame, keys: Sequence[str], token: Column, ord
 
 def detect_sequences(scored: DataFrame, z_score: float = 2.0, min_windows: int = 5) -> DataFrame:
     """Windows whose error exceeds mean + z * population deviation of all windows."""
-    cut = scored.agg(
+    cut = row_of(scored.agg(
         (F.avg("error") + z_score * F.stddev_pop("error")).alias("threshold"), F.count(F.lit(1)).alias("windows")
-    )
-    j = scored.join(F.broadcast(cut)).where((F.col("windows") >= min_windows) & (F.col("error") > F.col("threshold")))
+    ))
+    j = scored.withColumn("_cut", cut).withColumns({"threshold": F.col("_cut.threshold"), "windows": F.col("_cut.windows")})
+    j = j.drop("_cut").where((F.col("windows") >= min_windows) & (F.col("error") > F.col("threshold")))
     ratio = rnd(F.col("error") / (F.col("threshold") + 1e-10), 3)
     return j.withColumns(
         {

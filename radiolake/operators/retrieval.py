@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from radiolake.functions.columns import rnd
+from radiolake.functions.columns import rnd, row_of
 
 QUERY_LIMIT = 4096
 PART_ROWS = 50_000
@@ -19,12 +20,16 @@ WORD = r"[\p{L}\p{N}]+"
 
 def _batch_topk(ids: np.ndarray, vecs: np.ndarray, qids: np.ndarray, qvecs: np.ndarray, k: int) -> pd.DataFrame:
     """Rows of one batch that can still be among the k best of a query (ties at the k-th place kept)."""
-    scores = vecs @ qvecs.T
+    return _topk_columns(ids, vecs @ qvecs.T, qids, k)
+
+
+def _topk_columns(ids: np.ndarray, scores: np.ndarray, qids: np.ndarray, k: int, raw: np.ndarray | None = None) -> pd.DataFrame:
+    raw = scores if raw is None else raw
     parts = []
     for j in range(len(qids)):
         s = scores[:, j]
         keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-        parts.append(pd.DataFrame({"query_id": qids[j], "vec_id": ids[keep], "score": s[keep]}))
+        parts.append(pd.DataFrame({"query_id": qids[j], "vec_id": ids[keep], "score": raw[keep, j]}))
     return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -99,28 +104,77 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+
+
+def _idf(n_docs: Column) -> Column:
+    return F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, limit: int = QUERY_LIMIT) -> DataFrame:
     """BM25 ranking of whole documents (doc_id, text) for queries (query_id, text).
 
-    Postings are cut to the query words before the first shuffle and counted
-    map-side; the rank limit is pushed below the last one.
+    First pass: document frequencies of the query words, counted map-side.
+    Second pass: documents stream past the weighted query words and each batch
+    gives back k rows per query, so a word found in a third of all documents
+    costs no shuffle.  More than ``limit`` queries are ranked by joins.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    vocab = q.select("term").distinct()
+    asked = queries.select("query_id", "text").limit(limit + 1).toPandas()
+    if len(asked) > limit:
+        return _bm25_join(queries, docs, k, k1, b)
+    terms = _terms(docs.sparkSession.createDataFrame(asked, "query_id bigint, text string"))
     sized = docs.select("doc_id", words(F.col("text")).alias("w"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("avg_len"))
-    posts = sized.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(vocab, "term", "left_semi")
-    tf = posts.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    weights = q.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avg_len")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"))
+    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_len")).first()
+    n_docs, avg_len = stats["n"], float(stats["avg_len"] or 1.0)
+    df = sized.select(F.explode(F.array_distinct("w")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    df = df.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = terms.join(df, "term").select("query_id", "term", _idf(F.lit(n_docs)).alias("idf")).toPandas()
+    qids = np.sort(weights["query_id"].unique())
+    place = {qid: i for i, qid in enumerate(qids)}
+    table = {
+        t: (np.array([place[x] for x in g["query_id"]]), g["idf"].to_numpy()) for t, g in weights.groupby("term")
+    }
+    shared = docs.sparkSession.sparkContext.broadcast((qids, table))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, known = shared.value
+        for pdf in batches:
+            if not len(pdf) or not len(ids):
+                continue
+            scores = np.zeros((len(pdf), len(ids)))
+            for i, tokens in enumerate(pdf["w"]):
+                base = k1 * (1 - b + b * len(tokens) / avg_len)
+                for term, tf in Counter(tokens).items():
+                    hit = known.get(term)
+                    if hit is not None:
+                        scores[i, hit[0]] += hit[1] * (tf * (k1 + 1) / (tf + base))
+            found = _topk_columns(pdf["doc_id"].to_numpy(), np.rint(scores * 1e6), ids, k, raw=scores)
+            yield found[found["score"] > 0].rename(columns={"vec_id": "doc_id"})
+
+    cand = sized.mapInPandas(search, "query_id bigint, doc_id bigint, score double")
+    return _ranked_docs(cand.withColumnRenamed("score", "raw"), k)
+
+
+def _ranked_docs(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(rnd("raw", 6).desc(), "doc_id")
     ranked = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "doc_id", rnd("raw", 4).alias("score"), "rank")
 
 
+def _bm25_join(queries: DataFrame, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """The same ranking by joining postings with query words; for query sets too large to send along."""
+    q = _terms(queries)
+    sized = docs.select("doc_id", words(F.col("text")).alias("w"))
+    stats = row_of(sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_len")))
+    posts = sized.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    tf = posts.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = q.join(df, "term").withColumn("_st", stats).select("query_id", "term", _idf(F.col("_st.n")).alias("idf"), F.col("_st.avg_len").alias("avg_len"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return _ranked_docs(tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw")), k)
+
+
 def tfidf_vectors(docs: DataFrame, buckets: int = 1 << 16) -> DataFrame:
     """Hashed TF-IDF vectors of unit length (MLlib)."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer

@@ -8,7 +8,8 @@ from radiolake.functions.columns import rnd
 from radiolake.operators import counter_detectors as D
 from radiolake.operators import kpi_detectors as KD
 from radiolake.plans.bindings import COUNTER_DIM_CTE, COUNTERS_LONG_CTE, DIM_CTE, KPI_CTE, SEV, Tables
-from radiolake.plans.registry import query, r
+from radiolake.plans import kpi_queries  # noqa: F401  (its SQL is reused below)
+from radiolake.plans.registry import SQL, query, r
 
 COLS = ["label", "cell_id", "value", "severity", "score"]
 MEANS = "m AS (SELECT metric, cell_id, avg(value) AS v FROM counters_long GROUP BY ALL)"
@@ -102,8 +103,23 @@ def smg1(t: Tables):
     return out.select("label", "cell_id", "value", "severity", rnd("score", 4).alias("score"), "detector")
 
 
-@query("kmg1")
+UL_FLOOR_SQL = f"""WITH {KPI_CTE}, p AS (SELECT *, {r("value / (CASE channel_type WHEN 'TDD' THEN 100.0 ELSE 50.0 END) * 100", 4)} AS pct FROM kpi_long WHERE kpi = 'UL_Throughput_Mbps')
+ SELECT cell_id, ts, {r('value', 3)} AS value, CASE WHEN pct <= 2 THEN 'Critical' ELSE 'High' END AS severity FROM p WHERE pct <= 5"""
+KMG_PARTS = [
+    f"SELECT kpi, cell_id, ts, value, severity, 'Threshold' AS detector FROM ({SQL['kth1']}) WHERE kpi IN ('PRB_Utilization_UL_%', 'Latency_ms')",
+    f"SELECT 'DL_Throughput_Mbps', cell_id, ts, value, severity, 'Threshold' FROM ({SQL['kth2']})",
+    f"SELECT 'UL_Throughput_Mbps', cell_id, ts, value, severity, 'Threshold' FROM ({UL_FLOOR_SQL})",
+    f"SELECT 'PRB_Utilization_DL_%', cell_id, ts, value, severity, 'Threshold' FROM ({SQL['kth4']})",
+    f"SELECT kpi, cell_id, NULL, value, severity, 'Peer Comparison' FROM ({SQL['kpe1']})",
+    f"SELECT kpi, 'Fleet-wide', NULL, value, severity, 'Trend (linear regression)' FROM ({SQL['ktr1']})",
+    f"SELECT kpi, cell_id, ts, value, severity, 'IQR (Tukey fence)' FROM ({SQL['kiq1']})",
+    f"SELECT kpi, cell_id, ts, value, severity, 'CUSUM' FROM ({SQL['kcu1']})",
+    f"SELECT kpi, cell_id, ts, value, severity, 'Bollinger Bands' FROM ({SQL['kbo1']})",
+]
+
+
+@query("kmg1", " UNION ALL ".join(KMG_PARTS))
 def kmg1(t: Tables):
     opts = {KD.PEER: {"z_threshold": 1.5}, KD.TREND: {"slope_threshold": 0.0005}, KD.THRESHOLD: {"gap_s": 129600.0}}
     out = KD.ranked(KD.detect_kpi(t.kpi, options=opts))
-    return out.select("kpi", "cell_id", "ts", "value", "severity", "score", "detector")
+    return out.select("kpi", "cell_id", "ts", "value", "severity", "detector")

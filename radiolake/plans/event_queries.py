@@ -10,8 +10,8 @@ from radiolake.plans.registry import query, r
 from radiolake.sources import writers
 
 
-def log(t: Tables):
-    return E.event_log([E.to_events(t.anomalies)])
+def log(t: Tables, keep_raw: bool = False):
+    return E.event_log([E.to_events(t.anomalies)], keep_raw)
 
 
 def correlated(t: Tables):
@@ -125,5 +125,5 @@ def snk3(t: Tables):
     from radiolake.session import fresh_path
 
     path = fresh_path(t.spark, "result")
-    writers.write_result(log(t).select("seq", "source", "severity", "category", "raw"), path)
+    writers.write_result(log(t, keep_raw=True).select("seq", "source", "severity", "category", "raw"), path)
     return t.spark.read.schema("seq bigint, source string, severity string, category string").json(path)

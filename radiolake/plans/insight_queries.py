@@ -249,7 +249,7 @@ def ret3(t: Tables):
     return T.bm25_topk(t.table("benchmark").select(F.col("item_id").alias("query_id"), "text"), t.table("documents"), 5)
 
 
-@query("ret3_vectors")
+@query("ret3_vectors", "SELECT count(*) AS n FROM documents")
 def ret3_vectors(t: Tables):
     return T.tfidf_vectors(t.table("documents")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -11,6 +11,7 @@ from radiolake.plans.bindings import (
     CLASSED_CTE, DIM_CTE, EVENTS_CTE, KPI_CTE, Tables, anomalies_from_events, instants, kpi_from_events,
     messages_from_events,
 )
+from radiolake.plans.insight_queries import FBK3
 from radiolake.plans.kpi_queries import LIMITS
 from radiolake.plans.registry import query, r
 from radiolake.session import fresh_path
@@ -86,7 +87,7 @@ def kcu1_reference(t: Tables):
     return D.detect_cusum(t.kpi, reference_window=12).select("kpi", "cell_id", "ts", "value", "severity")
 
 
-@query("stm7")
+@query("stm7", f"{FBK3} SELECT detector, param, w AS value FROM y")
 def stm7(t: Tables):
     spark = t.spark
     inbox, store, params, state = (fresh_path(spark, f"stm7-{x}") for x in ("inbox", "store", "params", "state"))
