@@ -46,7 +46,7 @@ def to_events(anomalies: DataFrame, source: str | None = None, state: str = "cur
     src = F.lit(source) if source else F.col("source")
     pcap = src == "pcap"
     layer = F.when(pcap, F.coalesce(col("layer"), F.split_part(col("procedure"), F.lit("_"), F.lit(1)))).otherwise(F.upper(src))
-    seq = F.col("seq") if "seq" in have else F.xxhash64(*[F.col(f"`{c}`") for c in anomalies.columns])
+    seq = F.col("seq") if "seq" in have else F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in anomalies.columns])))
     return anomalies.select(
         src.alias("source"),
         F.lit(state).alias("state") if "state" not in have else col("state", default=state).alias("state"),

@@ -13,6 +13,7 @@ from radiolake.functions.columns import contains_any, severity_rank
 from radiolake.operators.events import NO_CELL, correlation_key
 from radiolake.operators.retrieval import bm25_topk
 from radiolake.operators.signalling import top_cause
+from radiolake.session import cut_lineage
 
 QUOTE_CHARS, MAX_CITATIONS, CHUNKS_PER_HOP = 150, 5, 2
 
@@ -145,6 +146,7 @@ def citations(chain: DataFrame, chunks: DataFrame, per_hop: int = CHUNKS_PER_HOP
     ``chunks``: doc_id, spec, section, text.  Hops asking the same thing are
     searched once.
     """
+    chain = cut_lineage(chain.select("corr_key", "query", "position", "seq"), "citation-hops")
     asked = chain.groupBy("query").agg(F.min("seq").alias("query_id"))
     top = bm25_topk(asked.select("query_id", F.col("query").alias("text")), chunks.select("doc_id", "text"), per_hop)
     found = top.join(asked, "query_id").join(chunks, "doc_id").select("query", "rank", "spec", "section", "text")
