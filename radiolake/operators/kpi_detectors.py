@@ -74,19 +74,23 @@ def emit(df: DataFrame, detector: str, evidence: Column, **over: Column) -> Data
 
 # ---------------------------------------------------------------- threshold
 
+def _limit_breach() -> Column:
+    return limit_severity(F.col("value"), F.col("warning"), F.col("critical"), _worse_high())
+
+
+def _limit_text() -> Column:
+    critical = F.col("severity") == "Critical"
+    return F.concat(
+        "label", F.lit("="), _num("value"), "unit", F.when(_worse_high(), " > ").otherwise(" < "),
+        F.when(critical, "critical").otherwise("warning"), F.lit(" threshold "),
+        F.when(critical, F.col("critical")).otherwise(F.col("warning")).cast("string"), "unit",
+    )
+
+
 def limits_generic(facts: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """Every reading against its catalogue limits: a pure map over the rows."""
     j = with_catalogue(facts.where(F.col("value").isNotNull()), dim)
-    j = j.withColumn(
-        "severity", limit_severity(F.col("value"), F.col("warning"), F.col("critical"), _worse_high())
-    ).where(F.col("severity").isNotNull())
-    limit = F.when(F.col("severity") == "Critical", F.col("critical")).otherwise(F.col("warning"))
-    text = F.concat(
-        "label", F.lit("="), _num("value"), "unit", F.when(_worse_high(), " > ").otherwise(" < "),
-        F.when(F.col("severity") == "Critical", "critical").otherwise("warning"),
-        F.lit(" threshold "), limit.cast("string"), "unit",
-    )
-    return emit(j, THRESHOLD, text)
+    return emit(j.withColumn("severity", _limit_breach()).where(F.col("severity").isNotNull()), THRESHOLD, _limit_text())
 
 
 def dl_share_severity(pct: Column) -> Column:
@@ -110,26 +114,20 @@ def throughput_limits(facts: DataFrame, capacities: DataFrame | None = None, dim
     """Throughput as share of cell capacity; cells of unknown capacity are judged in Mbps."""
     rows = facts.where(F.col("kpi").isin(list(K.THROUGHPUT_DIRECTION)) & F.col("value").isNotNull())
     caps = capacities if capacities is not None else capacity_map(facts)
-    j = capacity_share(rows, caps).where(F.col("dir").isin(list(directions)))
-    unknown = limits_generic(j.where(F.col("capacity_mbps").isNull()).select(*facts.columns), dim)
-    pct = F.col("normalized_pct")
-    known = with_catalogue(j.where(F.col("capacity_mbps").isNotNull()), dim).withColumn(
-        "severity",
-        F.when(F.col("dir") == "ul", ul_load_severity(pct, F.col("prb_ul"))).otherwise(dl_share_severity(pct)),
-    ).where(F.col("severity").isNotNull())
-    known = known.withColumns(
-        {
-            "load_aware": F.when(F.col("dir") == "ul", F.lit(True)),
-            "prb_ul": F.when(F.col("dir") == "ul", F.col("prb_ul")),
-        }
+    j = with_catalogue(capacity_share(rows, caps).where(F.col("dir").isin(list(directions))), dim)
+    pct, known, uplink = F.col("normalized_pct"), F.col("capacity_mbps").isNotNull(), F.col("dir") == "ul"
+    by_share = F.when(uplink, ul_load_severity(pct, F.col("prb_ul"))).otherwise(dl_share_severity(pct))
+    j = j.withColumn("severity", F.when(known, by_share).otherwise(_limit_breach())).where(F.col("severity").isNotNull())
+    j = j.withColumns(
+        {"load_aware": F.when(known & uplink, F.lit(True)), "prb_ul": F.when(known & uplink, F.col("prb_ul"))}
     )
-    text = F.concat(
+    share = F.concat(
         "label", F.lit("="), _num("value"), F.lit(" Mbps ("), _num(pct, 1), F.lit("% of "), _num("capacity_mbps", 0),
         F.lit(" Mbps capacity)"),
-        F.when(F.col("dir") == "ul", F.concat(F.lit("; PRB_UL="), F.coalesce(_num("prb_ul", 1), F.lit("N/A"))))
+        F.when(uplink, F.concat(F.lit("; PRB_UL="), F.coalesce(_num("prb_ul", 1), F.lit("N/A"))))
         .otherwise(F.lit(" below capacity limit")),
     )
-    return emit(known, THRESHOLD, text).unionByName(unknown)
+    return emit(j, THRESHOLD, F.when(known, share).otherwise(_limit_text()))
 
 
 def sustained_load(facts: DataFrame, kpi: str = K.PRB_DL, gap_s: float = 90.0, min_warning: int = 5,

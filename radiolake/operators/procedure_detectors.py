@@ -190,12 +190,15 @@ def _sqdist(a: Column, b: Column) -> Column:
 
 
 def local_outlier_factor(feats: DataFrame, scope: Sequence[str] = (), k: int = 5) -> DataFrame:
-    """Ratio of the neighbours' local density to the own one, per procedure within its scope."""
+    """Ratio of the neighbours' local density to the own one, per procedure within its scope.
+
+    Distances are kept to nine digits so that equal ones tie and fall back to the name.
+    """
     w = Window.partitionBy(*scope)
     z = scope_vectors(feats, scope).where(F.col("scope_n") >= 4)
     others = F.filter("_all", lambda p: p["procedure"] != F.col("procedure"))
     dists = F.array_sort(
-        F.transform(others, lambda p: F.struct(F.sqrt(_sqdist(F.col("x"), p["x"])).alias("d"), p["procedure"].alias("q")))
+        F.transform(others, lambda p: F.struct(rnd(F.sqrt(_sqdist(F.col("x"), p["x"])), 9).alias("d"), p["procedure"].alias("q")))
     )
     kk = F.least(F.lit(k), F.col("scope_n").cast("int") - 1)
     z = z.withColumn("_nn", F.slice(dists, F.lit(1), kk)).withColumn("_kd", F.element_at("_nn", -1)["d"])

@@ -86,13 +86,13 @@ def evt11(t: Tables):
     return E.related_counts(log(t)).select("seq", "related")
 
 
-@query("evt11_pairs", f"""WITH {EVENTS_CTE}, f AS (SELECT * FROM event_log ORDER BY score DESC, seq LIMIT 20) SELECT f.seq AS focus_seq, o.seq FROM f JOIN event_log o ON o.cell_id = f.cell_id AND o.seq <> f.seq
+@query("evt11_pairs", f"""WITH {EVENTS_CTE}, f AS (SELECT * FROM event_log QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, seq) = 1) SELECT f.seq AS focus_seq, o.seq FROM f JOIN event_log o ON o.cell_id = f.cell_id AND o.seq <> f.seq
  AND (f.ts IS NULL OR o.ts IS NULL OR abs(epoch_us(f.ts) - epoch_us(o.ts)) <= 3600000000)""")
 def evt11_pairs(t: Tables):
     ev = log(t)
-    top = ev.orderBy(F.col("score").desc(), "seq").limit(20)
-    near = E.related_events(ev, top)
-    names = top.select(F.col("event_id").alias("focus_id"), F.col("seq").alias("focus_seq"))
+    worst = ev.groupBy("cell_id").agg(F.max_by(F.struct("event_id", "seq"), F.struct("score", -F.col("seq"))).alias("e")).select("e.*")
+    near = E.related_events(ev, worst)
+    names = worst.select(F.col("event_id").alias("focus_id"), F.col("seq").alias("focus_seq"))
     return near.join(names, "focus_id").select("focus_seq", "seq")
 
 

@@ -167,7 +167,7 @@ def _slot_features(t: Tables):
 
 
 DIST = "sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda e: (e[1] - e[2]) * (e[1] - e[2]))))"
-LOF_SQL = f"""WITH {HOURLY_FEAT}, {_z('slot')}, d AS (SELECT a.slot, a.procedure AS p, b.procedure AS q, {DIST} AS d FROM z a JOIN z b ON a.slot = b.slot AND a.procedure <> b.procedure WHERE a.sn >= 4),
+LOF_SQL = f"""WITH {HOURLY_FEAT}, {_z('slot')}, d AS (SELECT a.slot, a.procedure AS p, b.procedure AS q, {r(DIST, 9)} AS d FROM z a JOIN z b ON a.slot = b.slot AND a.procedure <> b.procedure WHERE a.sn >= 4),
  nn AS (SELECT *, row_number() OVER (PARTITION BY slot, p ORDER BY d, q) AS k FROM d QUALIFY k <= 5), kd AS (SELECT slot, p, max(d) AS kd FROM nn GROUP BY ALL),
  lrd AS (SELECT n.slot, n.p, 1.0 / (avg(greatest(n.d, kd.kd)) + 1e-10) AS lrd FROM nn n JOIN kd ON kd.slot = n.slot AND kd.p = n.q GROUP BY ALL),
  lof AS (SELECT n.slot, n.p AS procedure, avg(o.lrd) / max(l.lrd) AS lof FROM nn n JOIN lrd o ON o.slot = n.slot AND o.p = n.q JOIN lrd l ON l.slot = n.slot AND l.p = n.p GROUP BY ALL)"""
@@ -255,7 +255,15 @@ def psq2(t: Tables):
     return _surprise(t).select("conv_id", "turn", rnd("error", 4).alias("error"))
 
 
-@query("psq2_flags", f"""WITH {SURPRISE}, c AS (SELECT avg(error) + 0.5 * stddev_pop(error) AS cut FROM sc) SELECT conv_id, turn,
+MSG_SURPRISE = f"""{MESSAGES_CTE}, st AS (SELECT *, procedure || ' ' || role AS tok, lag(procedure || ' ' || role) OVER (PARTITION BY cell_id ORDER BY ts, seq) AS prev FROM messages), kn AS (SELECT * FROM st WHERE prev IS NOT NULL),
+ pr AS (SELECT prev, tok, count(*) AS c FROM kn GROUP BY ALL), tb AS (SELECT prev, tok, -ln(c / sum(c) OVER (PARTITION BY prev)) AS s FROM pr),
+ er AS (SELECT seq, procedure, avg(s) OVER w AS error, count(*) OVER w AS k FROM kn JOIN tb USING (prev, tok) WINDOW w AS (PARTITION BY cell_id ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+ sc AS (SELECT * FROM er WHERE k = 10)"""
+
+
+@query("psq2_flags", f"""WITH {MSG_SURPRISE}, c AS (SELECT avg(error) + 2.0 * stddev_pop(error) AS cut FROM sc) SELECT seq, procedure,
  CASE WHEN {r('error / (cut + 1e-10)', 3)} > 2 THEN 'High' WHEN {r('error / (cut + 1e-10)', 3)} > 1.5 THEN 'Medium' ELSE 'Low' END AS severity FROM sc, c WHERE error > cut""")
 def psq2_flags(t: Tables):
-    return D.detect_sequences(_surprise(t), z_score=0.5).select("conv_id", "turn", "severity")
+    token = F.concat_ws(" ", "procedure", "role")
+    scored = D.transition_surprise(t.messages, ["cell_id"], token, ["ts", "seq"])
+    return D.detect_sequences(scored).select("seq", "procedure", "severity")
