@@ -78,8 +78,9 @@ def dedupe(events: DataFrame) -> DataFrame:
     key = ["source", "state", "lead_time_h", "cell_id", "_name", "_raw_value", "evidence", "detector"]
     rest = [c for c in events.columns if c not in key]
     first = F.min_by(F.struct(*rest), F.col("seq"))
-    out = events.groupBy(*key).agg(first.alias("r")).select(*[k for k in key], "r.*")
-    ident = F.concat_ws("-", "source", "state", F.hex(F.xxhash64(*key)))
+    # the hash leads the key so that sorting compares one number, not eight strings
+    out = events.groupBy(F.xxhash64(*key).alias("_h"), *key).agg(first.alias("r")).select("_h", *key, "r.*")
+    ident = F.concat_ws("-", "source", "state", F.hex("_h"))
     return out.withColumn("event_id", ident).select(*EVENT)
 
 

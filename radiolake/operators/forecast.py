@@ -100,30 +100,58 @@ GRID = [(a, b, p) for a in (0.1, 0.3, 0.5, 0.8) for b in (0.05, 0.3) for p in (0
 STATE = ["p00", "p01", "p10", "p11", "q0", "q1", "a", "b0", "b1", "c00", "c01", "c11"]
 
 
-def _fold(values: np.ndarray, grid: Sequence[tuple] = GRID) -> np.ndarray:
-    """Effect of a stretch of readings on smoothing, for every parameter set at once.
+def _fold_columns(y: np.ndarray, grid: Sequence[tuple]) -> list[np.ndarray]:
+    """Effect of each column of readings on smoothing, for every parameter set at once.
 
     Smoothing is linear in its starting state (level, trend): the end state is
-    P s + q and the squared one-step errors are a + 2 b.s + s'C s.
+    P s + q and the squared one-step errors are a + 2 b.s + s'C s.  Shapes are
+    (columns, sets, ...).
     """
     al, be, ph = (np.array(c) for c in zip(*grid))
-    g = len(grid)
-    p = np.zeros((g, 2, 2))
-    p[:, 0, 0] = p[:, 1, 1] = 1.0
-    q = np.zeros((g, 2))
-    a, b, c = np.zeros(g), np.zeros((g, 2)), np.zeros((g, 2, 2))
-    for y in values:
-        ahead_p = p[:, 0] + ph[:, None] * p[:, 1]
-        ahead_q = q[:, 0] + ph * q[:, 1]
-        e = y - ahead_q
+    shape = (y.shape[1], len(grid))
+    p = np.zeros((*shape, 2, 2))
+    p[..., 0, 0] = p[..., 1, 1] = 1.0
+    q = np.zeros((*shape, 2))
+    a, b, c = np.zeros(shape), np.zeros((*shape, 2)), np.zeros((*shape, 2, 2))
+    for row in y:
+        ahead_p = p[..., 0, :] + ph[:, None] * p[..., 1, :]
+        ahead_q = q[..., 0] + ph * q[..., 1]
+        e = row[:, None] - ahead_q
         a += e * e
-        b -= e[:, None] * ahead_p
-        c += ahead_p[:, :, None] * ahead_p[:, None, :]
-        p[:, 1] = ph[:, None] * p[:, 1] - (al * be)[:, None] * ahead_p
-        q[:, 1] = ph * q[:, 1] + al * be * e
-        p[:, 0] = ahead_p - al[:, None] * ahead_p
-        q[:, 0] = ahead_q + al * e
-    return np.column_stack([p.reshape(g, 4), q, a, b, c[:, 0, 0], c[:, 0, 1], c[:, 1, 1]])
+        b -= e[..., None] * ahead_p
+        c += ahead_p[..., :, None] * ahead_p[..., None, :]
+        p[..., 1, :] = ph[:, None] * p[..., 1, :] - (al * be)[:, None] * ahead_p
+        q[..., 1] = ph * q[..., 1] + al * be * e
+        p[..., 0, :] = ahead_p - al[:, None] * ahead_p
+        q[..., 0] = ahead_q + al * e
+    return [p, q, a, b, c]
+
+
+def _then(first: list[np.ndarray], second: list[np.ndarray]) -> list[np.ndarray]:
+    """Effect of two stretches, one after the other."""
+    (p, q, a, b, c), (bp, bq, ba, bb, bc) = first, second
+    cq = np.einsum("gij,gj->gi", bc, q)
+    return [
+        bp @ p,
+        np.einsum("gij,gj->gi", bp, q) + bq,
+        a + ba + 2 * (bb * q).sum(1) + (q * cq).sum(1),
+        b + np.einsum("gji,gj->gi", p, bb + cq),
+        c + np.einsum("gji,gjk,gkl->gil", p, bc, p),
+    ]
+
+
+def _fold(values: np.ndarray, grid: Sequence[tuple] = GRID) -> np.ndarray:
+    """Fold a stretch of readings: equal pieces side by side, then joined in order."""
+    size = max(1, int(np.sqrt(len(values))))
+    whole = len(values) // size * size
+    pieces = _fold_columns(values[:whole].reshape(-1, size).T, grid)
+    out = [x[0] for x in pieces]
+    for i in range(1, whole // size):
+        out = _then(out, [x[i] for x in pieces])
+    if whole < len(values):
+        out = _then(out, [x[0] for x in _fold_columns(values[whole:, None], grid)])
+    p, q, a, b, c = out
+    return np.column_stack([p.reshape(len(grid), 4), q, a, b, c[:, 0, 0], c[:, 0, 1], c[:, 1, 1]])
 
 
 def smoothing_blocks(numbered: DataFrame, keys: Sequence[str], block: Column, value: str = "value") -> DataFrame:
@@ -159,20 +187,17 @@ def smoothing_states(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
         g = pdf["g"].nunique()
         st = {c: pdf[c].to_numpy().reshape(-1, g) for c in STATE}
         blocks, lens = pdf["block"].to_numpy().reshape(-1, g)[:, 0], pdf["len"].to_numpy().reshape(-1, g)[:, 0]
-        p, q = np.tile(np.eye(2), (g, 1, 1)), np.zeros((g, 2))
-        a, b, c, n = np.zeros(g), np.zeros((g, 2)), np.zeros((g, 2, 2)), 0
-        rows = []
+        total = [np.tile(np.eye(2), (g, 1, 1)), np.zeros((g, 2)), np.zeros(g), np.zeros((g, 2)), np.zeros((g, 2, 2))]
+        n, rows = 0, []
         for i, block in enumerate(blocks):
             s = {name: st[name][i] for name in STATE}
-            bp = np.stack([s["p00"], s["p01"], s["p10"], s["p11"]], axis=1).reshape(g, 2, 2)
-            bq, bb = np.stack([s["q0"], s["q1"]], axis=1), np.stack([s["b0"], s["b1"]], axis=1)
-            bc = np.stack([s["c00"], s["c01"], s["c01"], s["c11"]], axis=1).reshape(g, 2, 2)
-            cq = np.einsum("gij,gj->gi", bc, q)
-            a = a + s["a"] + 2 * (bb * q).sum(1) + (q * cq).sum(1)
-            b = b + np.einsum("gji,gj->gi", p, bb + cq)
-            c = c + np.einsum("gji,gjk,gkl->gil", p, bc, p)
-            q = np.einsum("gij,gj->gi", bp, q) + bq
-            p, n = bp @ p, n + int(lens[i])
+            total = _then(total, [
+                np.stack([s["p00"], s["p01"], s["p10"], s["p11"]], axis=1).reshape(g, 2, 2),
+                np.stack([s["q0"], s["q1"]], axis=1), s["a"], np.stack([s["b0"], s["b1"]], axis=1),
+                np.stack([s["c00"], s["c01"], s["c01"], s["c11"]], axis=1).reshape(g, 2, 2),
+            ])
+            p, q, a, b, c = total
+            n += int(lens[i])
             s0 = -np.einsum("gij,gj->gi", np.linalg.pinv(c, rcond=1e-10, hermitian=True), b)
             sse = a + 2 * (b * s0).sum(1) + np.einsum("gi,gij,gj->g", s0, c, s0)
             best = int(np.argmin(np.maximum(sse, 0.0)))

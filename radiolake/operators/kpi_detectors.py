@@ -51,7 +51,9 @@ def _worse_high() -> Column:
 
 
 def _num(c: Column | str, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f", F.col(c) if isinstance(c, str) else c)
+    """Fixed number of digits through a decimal, which stays in generated code."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(rnd(c, digits).try_cast(f"decimal(28,{digits})").cast("string"), c.cast("string"))
 
 
 def emit(df: DataFrame, detector: str, evidence: Column, **over: Column) -> DataFrame:
