@@ -95,7 +95,11 @@ def neighbours(
         cols += [F.coalesce(F.sum("_size").over(_before(keys)), F.lit(0)).alias("_base"), F.sum("_size").over(_all(keys)).alias("n")]
     by_slice = Window.partitionBy(*keys).orderBy(SLICE)
     if prev:
-        aggs.append(F.max_by(F.struct(*[F.col(s).alias(n) for n, s in prev.items()]), _order(order)).alias("_last"))
+        # when only the leading order column is wanted its maximum is enough, which stays in hash aggregation
+        plain = set(prev.values()) == {order[0]}
+        edge = lambda c: F.struct(*[c(F.col(s)).alias(n) for n, s in prev.items()])
+        last = edge(F.max) if plain else F.max_by(edge(lambda c: c), _order(order))
+        aggs.append(last.alias("_last"))
         cols.append(F.lag("_last").over(by_slice).alias("_carry_prev"))
     if nxt:
         aggs.append(F.min_by(F.struct(*[F.col(s).alias(n) for n, s in nxt.items()]), _order(order)).alias("_first"))

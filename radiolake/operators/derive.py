@@ -75,11 +75,10 @@ def capacity_map(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     kind = F.upper(F.trim(F.col("channel_type")))
     known = sorted({c for c, _, _ in K.CAPACITY})
-    first = (
-        df.where(kind.isin(known) & (F.trim("cell_id") != ""))
-        .groupBy("cell_id")
-        .agg(F.min_by(kind, F.struct("seq", kind.alias("k"))).alias("channel_type"))
+    seen = df.where(kind.isin(known) & (F.trim("cell_id") != "")).groupBy("cell_id", kind.alias("k")).agg(
+        F.min("seq").alias("_at")
     )
+    first = seen.groupBy("cell_id").agg(F.min_by("k", F.struct("_at", "k")).alias("channel_type"))
     caps = K.capacity_dim(spark).groupBy("channel_type").agg(
         F.max(F.when(F.col("dir") == "dl", F.col("capacity_mbps"))).alias("dl_mbps"),
         F.max(F.when(F.col("dir") == "ul", F.col("capacity_mbps"))).alias("ul_mbps"),

@@ -196,8 +196,11 @@ def detect_peers(facts: DataFrame, z_threshold: float = 2.0, z_high: float = 3.0
     Two aggregations: rows to cell means, then moments of the cell means.  The
     moments are one row per KPI and join back without a window over the fleet.
     """
-    cells = facts.where(F.col("value").isNotNull()).groupBy("kpi", "cell_id").agg(
-        F.avg("value").alias("value"), F.min_by("gnb_id", F.struct("seq", "gnb_id")).alias("gnb_id")
+    parts = facts.where(F.col("value").isNotNull()).groupBy("kpi", "cell_id", "gnb_id").agg(
+        F.sum("value").alias("_sum"), F.count("value").alias("_n"), F.min("seq").alias("_at")
+    )
+    cells = parts.groupBy("kpi", "cell_id").agg(
+        (F.sum("_sum") / F.sum("_n")).alias("value"), F.min_by("gnb_id", F.struct("_at", "gnb_id")).alias("gnb_id")
     )
     fleet = cells.groupBy("kpi").agg(
         F.avg("value").alias("fleet_mean"), F.stddev_samp("value").alias("fleet_std")
@@ -351,9 +354,10 @@ def detect_cusum(facts: DataFrame, threshold: float = 5.0, k: float = 0.5, refer
     keep = ["ts", "value", "s_pos", "s_neg", "_mu", "_sigma", "label", "category", "unit", "warning", "critical", "advice"]
     row = F.struct(*keep, F.when(peak > 2 * threshold, "High").otherwise("Medium").alias("severity"))
     first = alarms.groupBy("kpi", "cell_id").agg(F.min_by(row, F.struct("ts", "seq")).alias("r"))
-    gnbs = facts.where(F.col("value").isNotNull() & F.col("ts").isNotNull()).groupBy("kpi", "cell_id").agg(
-        F.min_by("gnb_id", F.struct("ts", "seq")).alias("gnb_id")
+    seen = facts.where(F.col("value").isNotNull() & F.col("ts").isNotNull()).groupBy("kpi", "cell_id", "gnb_id").agg(
+        F.min("ts").alias("_at"), F.min("seq").alias("_seq")
     )
+    gnbs = seen.groupBy("kpi", "cell_id").agg(F.min_by("gnb_id", F.struct("_at", "_seq", "gnb_id")).alias("gnb_id"))
     out = first.select("kpi", "cell_id", "r.*").join(gnbs, ["kpi", "cell_id"])
     return emit(out, CUSUM, F.concat(
         "label", F.lit(": CUSUM drift; S+="), _num("s_pos"), F.lit(", S-="), _num("s_neg"),

@@ -159,13 +159,17 @@ def procedure_counters(paired: DataFrame, by: Sequence[str] = ("procedure",)) ->
     cause = F.when(out == "timeout", TIMEOUT).otherwise(F.coalesce("cause", F.lit("unknown")))
     cell = F.col("cell_id") if "cell_id" in paired.columns and "cell_id" not in by else F.lit(None).cast("string")
     started = paired.where((F.col("class") == "open") | (out != "orphan"))
-    per_cause = started.withColumn("_cause", F.when(failed, cause)).groupBy(*by, "_cause").agg(
-        F.count_if(F.col("class") == "open").alias("attempts"),
-        F.count_if(out == "success").alias("success"),
-        F.count_if(failed).alias("failure"),
-        F.min_by("layer", F.struct("ts", "seq")).alias("layer"),
-        F.min_by(cell, F.when(cell.isNotNull(), F.struct("ts", "seq"))).alias("_cell"),
-        F.min(F.struct("ts", "seq")).alias("_at"),
+    # all messages are counted by fixed-width hash aggregation; what follows sees one row per name combination
+    counted = started.select(*by, "layer", cell.alias("_cell"), F.when(failed, cause).alias("_cause"), "class", "outcome", "ts", "seq").groupBy(
+        *by, "layer", "_cell", "_cause"
+    ).agg(
+        F.count_if(F.col("class") == "open").alias("attempts"), F.count_if(out == "success").alias("success"),
+        F.count_if(failed).alias("failure"), F.min("ts").alias("_ts"), F.min("seq").alias("_seq"),
+    )
+    at = F.struct("_ts", "_seq", "layer", "_cell")
+    per_cause = counted.groupBy(*by, "_cause").agg(
+        F.sum("attempts").alias("attempts"), F.sum("success").alias("success"), F.sum("failure").alias("failure"),
+        F.min_by("layer", at).alias("layer"), F.min_by("_cell", F.when(F.col("_cell").isNotNull(), at)).alias("_cell"), F.min(at).alias("_at"),
     )
     entry = F.when(F.col("_cause").isNotNull(), F.struct(F.col("_cause").alias("key"), F.col("failure").alias("value")))
     agg = per_cause.groupBy(*by).agg(
