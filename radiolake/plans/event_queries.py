@@ -62,7 +62,7 @@ def evt8(t: Tables):
     return E.by_cell(log(t), "PCI_3").select("seq", "severity")
 
 
-@query("evt9", f"""WITH {EVENTS_CTE} SELECT count(*) AS total, count(*) AS current, 0 AS predicted, sum((n_correlated >= 1)::INT)::BIGINT AS correlated,
+@query("evt9", f"""WITH {EVENTS_CTE} SELECT count(*) AS total, count(*) AS current, 0::BIGINT AS predicted, sum((n_correlated >= 1)::INT)::BIGINT AS correlated,
  count(DISTINCT CASE WHEN n_correlated >= 1 THEN cell_id END) AS correlated_unique_cells, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS sev_{s.lower()}" for s in ('Critical', 'High', 'Medium', 'Low'))},
  {', '.join(f"count(*) FILTER (WHERE source = '{s}') AS src_{s}" for s in ('kpi', 'pcap', 'stats'))} FROM correlated""")
 def evt9(t: Tables):

@@ -37,7 +37,7 @@ def src2(t: Tables):
     )
 
 
-@query("src4", """SELECT event_type AS Protocol, count(*) AS packets, sum(length(props)) AS bytes,
+@query("src4", """SELECT event_type AS Protocol, count(*) AS packets, sum(length(props))::BIGINT AS bytes,
  count(DISTINCT user_id) AS sources FROM events GROUP BY ALL""")
 def src4(t: Tables):
     packets = t.events.select(

@@ -194,13 +194,13 @@ def _bm25(queries: str, docs: str, k: int) -> str:
  bd AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM bw), bn AS (SELECT count(*) AS n, avg(len(w)) AS al FROM bw),
  tf AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM bd WHERE term IN (SELECT term FROM bq) GROUP BY ALL), dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
  bs AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))) AS raw FROM bq JOIN tf USING (term) JOIN dfq USING (term), bn GROUP BY ALL),
- bm AS (SELECT query_id, doc_id, {r('raw', 4)} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {r('raw', 6)} DESC, doc_id) AS rank FROM bs QUALIFY rank <= {k})"""
+ bm AS (SELECT query_id, doc_id, {r('raw', 4)} AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {r('raw', 6)} DESC, doc_id) AS INTEGER) AS rank FROM bs QUALIFY rank <= {k})"""
 
 
 @query("rca5", f"""WITH {CHAIN_CTE}, {CHUNK_SQL}, hop AS (SELECT corr_key, position, seq, concat_ws(' ', category, evidence, layer) AS q FROM chain), qs AS (SELECT q, min(seq) AS query_id FROM hop GROUP BY q),
  qt AS (SELECT query_id, q AS text FROM qs), {_bm25('qt', 'chunks', 2)}, f AS (SELECT q, rank, spec, section, text FROM bm JOIN qs USING (query_id) JOIN chunks USING (doc_id)),
  c AS (SELECT corr_key, spec, section, arg_min(text, (position, rank)) AS text, min((position, rank)) AS pos FROM hop JOIN f USING (q) GROUP BY ALL),
- o AS (SELECT *, row_number() OVER (PARTITION BY corr_key ORDER BY pos, spec, section) AS n FROM c QUALIFY n <= 5) SELECT corr_key, n, spec, section, rtrim(substr(text, 1, 150), '.') || '.' AS quote FROM o""")
+ o AS (SELECT *, CAST(row_number() OVER (PARTITION BY corr_key ORDER BY pos, spec, section) AS INTEGER) AS n FROM c QUALIFY n <= 5) SELECT corr_key, n, spec, section, rtrim(substr(text, 1, 150), '.') || '.' AS quote FROM o""")
 def rca5(t: Tables):
     return C.citations(C.causal_chain(E.correlated_only(correlated(t))), chunks(t))
 
@@ -229,17 +229,17 @@ def centroids(t: Tables):
     return vec.select("query_id", F.transform("v", lambda e: e["x"] / norm).alias("embedding"))
 
 
-@query("ret1", f"""WITH e AS (SELECT label AS query_id, generate_subscripts(embedding, 1) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT query_id, p, avg(x) AS x FROM e GROUP BY ALL),
+@query("ret1", f"""WITH e AS (SELECT label::BIGINT AS query_id, generate_subscripts(embedding, 1) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT query_id, p, avg(x) AS x FROM e GROUP BY ALL),
  q AS (SELECT query_id, list(x ORDER BY p) AS v, sqrt(sum(x * x)) AS norm FROM m GROUP BY query_id), s AS (SELECT query_id, vec_id,
  list_dot_product(list_transform(q.v, lambda x: x / norm), list_transform(c.embedding, lambda x: x::DOUBLE)) AS s FROM q, embeddings c)
- SELECT query_id, vec_id, {r('s', 4)} AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""")
+ SELECT query_id, vec_id, {r('s', 4)} AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def ret1(t: Tables):
     return T.cosine_topk(centroids(t), t.table("embeddings"), 5)
 
 
 @query("ret1_blocks", f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings), s AS (SELECT query_id, vec_id,
  list_dot_product(list_transform(q.e, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE)) AS s FROM q, embeddings c)
- SELECT query_id, vec_id, {r('s', 4)} AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s QUALIFY rank <= 3""")
+ SELECT query_id, vec_id, {r('s', 4)} AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
 def ret1_blocks(t: Tables):
     e = t.table("embeddings")
     return T.cosine_topk(e.select(F.col("vec_id").alias("query_id"), "embedding"), e, 3, limit=100)

@@ -158,7 +158,7 @@ def _z(scope: str) -> str:
 HOURLY_FEAT = f"""{counts_cte('slot')}, feat AS (SELECT procedure, slot, attempts, failure, success_rate, 100.0 - success_rate AS failure_rate,
  attempts / greatest(sum(attempts) OVER (PARTITION BY slot), 1) AS attempt_share, failure::DOUBLE AS failure_count, n_causes / greatest(failure, 1) AS cause_diversity,
  top_n / greatest(failure, 1) AS top_cause_concentration, timeouts / greatest(failure, 1) AS timeout_ratio, (failure > 0)::INT::DOUBLE AS has_any_failure FROM pc)""".replace(
-    "SELECT ts, seq, layer, procedure, ue_id, cell_id, cause, tx_key,", "SELECT hour(ts) AS slot, ts, seq, layer, procedure, ue_id, cell_id, cause, tx_key,")
+    "SELECT ts, seq, layer, procedure, ue_id, cell_id, cause, tx_key,", "SELECT CAST(hour(ts) AS INTEGER) AS slot, ts, seq, layer, procedure, ue_id, cell_id, cause, tx_key,")
 
 
 def _slot_features(t: Tables):
