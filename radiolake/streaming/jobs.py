@@ -62,7 +62,8 @@ def pair_requests(messages: DataFrame, timeout_s: int = 30, delay: str = "1 minu
     """Request/response pairing with a real timeout.
 
     One open request per transaction is remembered; it ends by its outcome, by
-    the next request, or when event time passes ``timeout_s``.
+    the next request, or when event time passes ``timeout_s``.  A step sees one
+    transaction's messages of one micro-batch; bound that with files per trigger.
     """
     m = messages.withColumns({"class": role_class(F.col("role")), "tx_key": transaction_key()})
     m = m.where(F.col("class").isNotNull()).select("tx_key", "ts", "seq", "class", "cause").withWatermark("ts", delay)
