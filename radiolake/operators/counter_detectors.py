@@ -31,8 +31,8 @@ def _facts(facts: DataFrame, calendar: bool) -> DataFrame:
 
 
 def _with_dim(df: DataFrame, dim: DataFrame | None) -> DataFrame:
-    dim = dim if dim is not None else C.counter_dim(df.sparkSession)
-    return df.join(F.broadcast(dim), "metric", "left").withColumns(
+    dim = dim if dim is not None else F.broadcast(C.counter_dim(df.sparkSession))
+    return df.join(dim, "metric", "left").withColumns(
         {
             "desc": F.coalesce("desc", "metric"),
             "unit": F.coalesce("unit", F.lit("")),

@@ -123,7 +123,7 @@ def lead_time(series: DataFrame, truth: DataFrame, freq: DataFrame | None = None
     reading.  Methods: trend and last value.
     """
     spark = series.sparkSession
-    dim = dim if dim is not None else P.limits_dim(spark)
+    dim = dim if dim is not None else F.broadcast(P.limits_dim(spark))
     freq = freq if freq is not None else sampling_interval(series)
     rows = P.known(series)
     start = rows.agg(F.min(seconds("ts"))).scalar()
@@ -155,7 +155,7 @@ def lead_time(series: DataFrame, truth: DataFrame, freq: DataFrame | None = None
     late = j.withColumn("slot", F.greatest(F.lit(0), F.ceil((F.col("x") - 0.5) / (2 * check_step_h) - eps)).cast("int"))
     away = _accumulated(late, grid, ids, oldest_first=True).withColumn("part", F.lit("clean"))
     both = before.unionByName(away).where(F.col("c") >= min_rows)
-    both = P.with_horizon(both.join(truth, "truth_id"), freq, horizon_h).join(F.broadcast(dim), "kpi", "left")
+    both = P.with_horizon(both.join(truth, "truth_id"), freq, horizon_h).join(dim, "kpi", "left")
     slope = (F.col("c") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.col("c") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))
     ahead = F.col("xm") + F.col("freq_s") / 3600.0 * (F.col("h") + 1) / 2.0
     table = F.array(

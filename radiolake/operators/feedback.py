@@ -79,7 +79,7 @@ def retrain(feedback: DataFrame, params: DataFrame | None = None) -> DataFrame:
     rated = rated.select("detector", "total", "correct", "false_positive",
                          F.sum("total").over(Window.partitionBy()).alias("all_records"))
     n = F.col("correct") + F.col("false_positive")
-    j = params.join(F.broadcast(rated), "detector", "left").withColumn(
+    j = params.join(rated, "detector", "left").withColumn(
         "fp_rate", F.col("false_positive") / F.nullif(n, F.lit(0))
     )
     delta = STEP * (F.col("fp_rate") - TARGET_FP_RATE)
@@ -117,6 +117,6 @@ def current_params(spark: SparkSession, saved: DataFrame | None = None) -> DataF
     if saved is None:
         return base
     s = saved.select("detector", "param", F.col("value").alias("saved"))
-    return base.join(F.broadcast(s), ["detector", "param"], "left").select(
+    return base.join(s, ["detector", "param"], "left").select(
         "detector", "param", F.coalesce("saved", "value").alias("value")
     )

@@ -282,8 +282,8 @@ def forecast_severity(value: Column) -> Column:
 
 def predicted_anomalies(forecasts: DataFrame, method: str, horizon_h: float = HORIZON_H, dim: DataFrame | None = None) -> DataFrame:
     """Forecasts that break a limit; Medium when only the upper value does."""
-    dim = dim if dim is not None else limits_dim(forecasts.sparkSession)
-    j = forecasts.join(F.broadcast(dim), "kpi", "left")
+    dim = dim if dim is not None else F.broadcast(limits_dim(forecasts.sparkSession))
+    j = forecasts.join(dim, "kpi", "left")
     own, high = forecast_severity(F.col("forecast")), forecast_severity(F.col("forecast_high"))
     j = j.withColumn("severity", F.when(own != "Low", own).when(high != "Low", "Medium")).where(F.col("severity").isNotNull())
     return j.select(

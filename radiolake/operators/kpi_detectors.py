@@ -33,9 +33,9 @@ OPTIONAL = {
 
 
 def with_catalogue(facts: DataFrame, dim: DataFrame | None = None) -> DataFrame:
-    """Join the fixed-size catalogue; unknown KPIs are higher-better without limits."""
-    dim = dim if dim is not None else K.kpi_dim(facts.sparkSession)
-    return facts.join(F.broadcast(dim), "kpi", "left").withColumns(
+    """Join the catalogue (a given one is left to AQE); unknown KPIs are higher-better without limits."""
+    dim = dim if dim is not None else F.broadcast(K.kpi_dim(facts.sparkSession))
+    return facts.join(dim, "kpi", "left").withColumns(
         {
             "label": F.coalesce("label", "kpi"),
             "category": F.coalesce("category", F.lit("Other")),

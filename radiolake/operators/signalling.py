@@ -47,9 +47,10 @@ def name_codes(decoded: DataFrame, codes: DataFrame | None = None) -> DataFrame:
 
     Unknown NAS types drop out; other unknown procedures are named by their code.
     """
+    hint = F.broadcast if codes is None else (lambda df: df)
     codes = codes if codes is not None else P.code_dim(decoded.sparkSession)
-    msgs = F.broadcast(codes.where("kind = 'message'").select("layer", "code", F.col("name").alias("_proc"), F.col("role").alias("_role")))
-    causes = F.broadcast(codes.where("kind = 'cause'").select("layer", F.col("code").alias("cause_code"), F.col("name").alias("_cause")))
+    msgs = hint(codes.where("kind = 'message'").select("layer", "code", F.col("name").alias("_proc"), F.col("role").alias("_role")))
+    causes = hint(codes.where("kind = 'cause'").select("layer", F.col("code").alias("cause_code"), F.col("name").alias("_cause")))
     j = decoded.join(msgs, ["layer", "code"], "left").join(causes, ["layer", "cause_code"], "left")
     role = F
     for cat, name in P.CATEGORY_ROLES.items():

@@ -63,12 +63,13 @@ def compare(df, con, sql, rows=None):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--partitions", type=int, default=8)
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     import __spark_entry__ as E
     from radiolake.session import local_session
 
-    spark = local_session(8)
+    spark = local_session(8, args.partitions)
     spark.sparkContext.setLogLevel("ERROR")
     queries, sqls = E.queries(), E.oracle_sql()
     con = duck(args.sf)
