@@ -115,7 +115,7 @@ def _idf(n_docs: Column) -> Column:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, limit: int = QUERY_LIMIT) -> DataFrame:
     """BM25 ranking of whole documents (doc_id, text) for queries (query_id, text).
 
-    First pass: document frequencies of the query words, counted map-side.
+    First pass: document frequencies of the query words and the mean length, counted map-side.
     Second pass: documents stream past the weighted query words and each batch
     gives back k rows per query, so a word found in a third of all documents
     costs no shuffle.  More than ``limit`` queries are ranked by joins.
@@ -125,11 +125,16 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5,
         return _bm25_join(queries, docs, k, k1, b)
     terms = _terms(docs.sparkSession.createDataFrame(asked, "query_id bigint, text string"))
     sized = docs.select("doc_id", words(F.col("text")).alias("w"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_len")).first()
-    n_docs, avg_len = stats["n"], float(stats["avg_len"] or 1.0)
-    df = sized.select(F.explode(F.array_distinct("w")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    df = df.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = terms.join(df, "term").select("query_id", "term", _idf(F.lit(n_docs)).alias("idf")).toPandas()
+    pairs = terms.toPandas()
+    # one pass counts documents per query word; the empty word, which no text has, counts all of them
+    vocab = docs.sparkSession.createDataFrame([(t,) for t in sorted({"", *pairs["term"]})], "term string")
+    each = sized.select(F.size("w").alias("len"), F.explode(F.array_append(F.array_distinct("w"), F.lit(""))).alias("term"))
+    counts = each.join(vocab, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len")).toPandas()
+    everything = counts[counts["term"] == ""]
+    n_docs = int(everything["df"].sum())
+    avg_len = float(everything["len"].sum()) / max(n_docs, 1) or 1.0
+    counts["idf"] = np.log((n_docs - counts["df"] + 0.5) / (counts["df"] + 0.5) + 1.0)
+    weights = pairs.merge(counts[["term", "idf"]], on="term")
     qids = np.sort(weights["query_id"].unique())
     place = {qid: i for i, qid in enumerate(qids)}
     table = {
