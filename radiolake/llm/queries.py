@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import archive, line_dedup, mixing
+from radiolake.llm import archive, language, line_dedup, mixing, simhash
 from radiolake.llm.sql import SQL  # noqa: F401
 
 QUERIES = {}
@@ -51,3 +51,24 @@ def op10_warc_revisits(spark, sf_dir):
         F.col("seq").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query
+def op9_simhash(spark, sf_dir):
+    out = simhash.near_duplicates(chunks_of(table(spark, sf_dir, "documents")))
+    return out.select(F.col("chunk_id").alias("doc_id"), "fingerprint", "component_id")
+
+
+def id_fold(col, folds: int):
+    """Fold of a row: CRC-32 of its id as text."""
+    return F.crc32(col.cast("string").cast("binary")) % folds
+
+
+@query
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    comments = comments_of(docs)
+    model = language.fit_languages(comments.where(id_fold(comments.feedback_id, 3) != 1))
+    out = language.predict_languages(comments, model)
+    held_out = F.coalesce(id_fold(F.col("feedback_id"), 3) == 1, F.lit(False))
+    return out.select(F.col("feedback_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
