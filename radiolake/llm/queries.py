@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import archive, language, line_dedup, mixing, simhash
+from radiolake.llm import archive, decontaminate, language, line_dedup, mixing, simhash
 from radiolake.llm.sql import SQL  # noqa: F401
 
 QUERIES = {}
@@ -72,3 +72,10 @@ def op4_language_id(spark, sf_dir):
     out = language.predict_languages(comments, model)
     held_out = F.coalesce(id_fold(F.col("feedback_id"), 3) == 1, F.lit(False))
     return out.select(F.col("feedback_id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_decontaminate(spark, sf_dir):
+    scenarios = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("scenario_id"), F.col("text").alias("description"))
+    out = decontaminate.scenario_leaks(chunks_of(table(spark, sf_dir, "documents")), scenarios)
+    return out.select(F.col("chunk_id").alias("doc_id"), F.col("scenario_id").alias("item_id"), "edits", "begins", "ends")
