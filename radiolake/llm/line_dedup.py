@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radiolake.llm.common import BLANKS, ascii_lower, free_name, text_of
+from radiolake.session import cut_lineage
 
 
 def _lines(df: DataFrame, chunk_id: str, text: str, min_chars: int) -> DataFrame:
@@ -31,6 +32,7 @@ def _marked(df: DataFrame, chunk_id: str, text: str, min_chars: int, min_chunks:
         .where(F.col("n") >= min_chunks)
         .drop("n")
     )
+    shared = cut_lineage(shared, "shared-lines")  # read back, the join has a size to go by and can split a common line
     gone = (
         lines.join(shared, ["h1", "h2"])
         .where(F.col("c") != F.col("keeper"))
