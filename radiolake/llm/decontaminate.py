@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from radiolake.llm.common import in_portions
+from radiolake.llm.points import normalised
 from radiolake.session import cut_lineage
 
 Q = 8  # a power of two
@@ -22,31 +23,6 @@ FILTER_BITS = 22
 AT_ONCE = 256
 OUT = ("scenario_id", "edits", "begins", "ends")
 
-_TABLES: list[np.ndarray] = []
-
-
-def _folded() -> np.ndarray:
-    """For every code point of the first plane: lower-cased if a letter or digit, else 0. Made once in a task."""
-    if not _TABLES:
-        chars = [chr(i) for i in range(1 << 16)]
-        _TABLES.append(np.array([(ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalnum() else 0 for c in chars], np.uint32))
-    return _TABLES[0]
-
-
-def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points with letters lower-cased and each run of other characters as one space, and their places in the text."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = points < (1 << 16)
-    folded = np.where(low, _folded()[np.where(low, points, 0)], points)
-    word = folded > 0
-    after = np.concatenate([[False], word[:-1]])  # a run of other characters after a word is one space
-    keep = word | after
-    places = np.flatnonzero(keep)
-    out = np.where(word, folded, 32)[keep]
-    if len(out) and out[-1] == 32:
-        out, places = out[:-1], places[:-1]
-    return out, places
-
 
 def _grams(points: np.ndarray) -> np.ndarray:
     """Hash of the ``Q`` code points from each place on, built up from pairs, pairs of pairs and so on."""
@@ -132,8 +108,10 @@ def _candidates(grams: np.ndarray, index: Index, need: np.ndarray, budget: np.nd
     ``edges`` are the starts of the documents in ``grams``. A band is ``2 * (budget + 1)``
     diagonals wide and starts every ``budget + 1`` diagonals, so any alignment within the budget lies in one.
     """
+    if not len(index.grams):
+        return (np.zeros(0, np.int64),) * 3
     maybe = np.flatnonzero(index.seen[grams >> np.uint64(64 - FILTER_BITS)])
-    number = np.minimum(np.searchsorted(index.grams, grams[maybe]), max(len(index.grams) - 1, 0))
+    number = np.minimum(np.searchsorted(index.grams, grams[maybe]), len(index.grams) - 1)
     known = index.grams[number] == grams[maybe]
     maybe, number = maybe[known], number[known]
     lo, n = index.first[number], index.first[number + 1] - index.first[number]
