@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import archive, decontaminate, language, line_dedup, mixing, simhash
+from radiolake.llm import archive, decontaminate, language, line_dedup, mixing, simhash, toxicity
 from radiolake.llm.sql import SQL  # noqa: F401
 
 QUERIES = {}
@@ -79,3 +79,14 @@ def op5_decontaminate(spark, sf_dir):
     scenarios = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("scenario_id"), F.col("text").alias("description"))
     out = decontaminate.scenario_leaks(chunks_of(table(spark, sf_dir, "documents")), scenarios)
     return out.select(F.col("chunk_id").alias("doc_id"), F.col("scenario_id").alias("item_id"), "edits", "begins", "ends")
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labels = labels.where(id_fold(labels.doc_id, 5) != 0).select(labels.doc_id.alias("feedback_id"), labels.toxic.alias("abusive"))
+    comments = comments_of(docs)
+    learn = comments.where(id_fold(comments.feedback_id, 5) != 0).drop("lang").join(labels, "feedback_id")
+    out = toxicity.score_comments(comments, toxicity.fit_abuse(learn))
+    held_out = F.coalesce(id_fold(F.col("feedback_id"), 5) == 0, F.lit(False))
+    return out.select(F.col("feedback_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
