@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import archive, decontaminate, language, line_dedup, mixing, simhash, toxicity
+from radiolake.llm import archive, decontaminate, impact_search, language, line_dedup, mixing, simhash, toxicity
 from radiolake.llm.sql import SQL  # noqa: F401
+from radiolake.session import cut_lineage
 
 QUERIES = {}
 
@@ -90,3 +91,11 @@ def op6_toxicity(spark, sf_dir):
     out = toxicity.score_comments(comments, toxicity.fit_abuse(learn))
     held_out = F.coalesce(id_fold(F.col("feedback_id"), 5) == 0, F.lit(False))
     return out.select(F.col("feedback_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_impact_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = cut_lineage(impact_search.impacts(vectors.select(vectors.vec_id.alias("chunk_id"), "embedding")), "impacts")
+    out = impact_search.top_chunks(vectors, vectors.where(F.col("chunk_id") % 50 == 0))
+    return out.select("query_id", "rank", F.col("chunk_id").alias("vec_id"), "score")

@@ -43,4 +43,12 @@ SELECT page_id, p.n AS payload_bytes, p.g AS payload_digest,
        CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM p LEFT JOIN o ON p.g = o.g AND p.n = o.n""",
+    "op8_impact_topk": """
+WITH v AS (SELECT vec_id, max([floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+      FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
