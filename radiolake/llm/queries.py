@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import archive, decontaminate, impact_search, language, line_dedup, mixing, simhash, toxicity
+from radiolake.llm import archive, decontaminate, impact_search, language, line_dedup, mixing, report_text, simhash, toxicity
 from radiolake.llm.sql import SQL  # noqa: F401
 from radiolake.session import cut_lineage
 
@@ -99,3 +99,10 @@ def op8_impact_topk(spark, sf_dir):
     vectors = cut_lineage(impact_search.impacts(vectors.select(vectors.vec_id.alias("chunk_id"), "embedding")), "impacts")
     out = impact_search.top_chunks(vectors, vectors.where(F.col("chunk_id") % 50 == 0))
     return out.select("query_id", "rank", F.col("chunk_id").alias("vec_id"), "score")
+
+
+@query
+def op7_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    out = report_text.report_text(pages.select(pages.page_id.alias("report_id"), "url", "html"))
+    return out.select(F.col("report_id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
