@@ -87,7 +87,7 @@ def op6_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     labels = labels.where(id_fold(labels.doc_id, 5) != 0).select(labels.doc_id.alias("feedback_id"), labels.toxic.alias("abusive"))
     comments = comments_of(docs)
-    learn = comments.where(id_fold(comments.feedback_id, 5) != 0).drop("lang").join(labels, "feedback_id")
+    learn = comments.where(id_fold(comments.feedback_id, 5) != 0).drop("lang").join(labels.hint("merge"), "feedback_id")  # labels grow with the comments: never broadcast
     out = toxicity.score_comments(comments, toxicity.fit_abuse(learn))
     held_out = F.coalesce(id_fold(F.col("feedback_id"), 5) == 0, F.lit(False))
     return out.select(F.col("feedback_id").alias("doc_id"), held_out.alias("held_out"), "score", "predicted")

@@ -45,25 +45,29 @@ def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.uint64), starts, size
 
 
-def _cells(points: np.ndarray, order: int) -> np.ndarray:
-    """Cell of the n-gram that ends at each place from ``ORDER - 1`` on: bucket of its context, then of its last character."""
-    n = len(points) - ORDER + 1
-    last = _mix(_mix(points[ORDER - 1 :] + np.uint64(1))) >> np.uint64(64 - NEXT_BITS)
+def _windows(points: np.ndarray) -> list[np.ndarray]:
+    """The characters of the n-gram at each place, first to last, as shifted views."""
+    n = max(len(points) - ORDER + 1, 0)
+    return [points[k : k + n] for k in range(ORDER)]
+
+
+def _cells(window: list[np.ndarray], order: int) -> np.ndarray:
+    """Cell of the n-gram that ends the window: bucket of its context, then of its last character."""
+    last = _mix(_mix(window[-1] + np.uint64(1))) >> np.uint64(64 - NEXT_BITS)
     bits = CONTEXT_BITS[order]
     if not bits:
         return last.astype(np.int64)
-    h = np.full(n, order, np.uint64)
-    for k in range(ORDER - order, ORDER - 1):
-        h = _mix(h ^ (points[k : k + n] + np.uint64(1)))
+    h = np.full(len(last), order, np.uint64)
+    for char in window[ORDER - order : -1]:
+        h = _mix(h ^ (char + np.uint64(1)))
     return (((_mix(h) >> np.uint64(64 - bits)) << np.uint64(NEXT_BITS)) | last).astype(np.int64)
 
 
-def _name(points: np.ndarray, order: int) -> np.ndarray:
+def _name(window: list[np.ndarray], order: int) -> np.ndarray:
     """64 bits that name the n-gram itself."""
-    n = len(points) - ORDER + 1
-    h = np.full(n, order, np.uint64)
-    for k in range(ORDER - order, ORDER):
-        h = _mix(h ^ (points[k : k + n] + np.uint64(1)))
+    h = np.full(len(window[-1]), order, np.uint64)
+    for char in window[ORDER - order :]:
+        h = _mix(h ^ (char + np.uint64(1)))
     return _mix(h).view(np.int64)
 
 
@@ -71,16 +75,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams of the highest order in a portion of the comments: names and cells of it and of its endings, counts by class."""
     names = [*(f"g{n}" for n in range(ORDER, 1, -1)), *(f"c{n}" for n in range(ORDER, 0, -1)), "n0", "n1"]
     rows = ((y, t) for b in batches for y, t in zip(b.column("abusive").to_pylist(), b.column("comment").to_pylist()))
-    for part in in_portions(rows, 4 * PORTION):
+    for part in in_portions(rows, 2 * PORTION):
         points, starts, size = _padded([t for _, t in part])
         if not size.sum():
             continue
         of = np.repeat(np.arange(len(part)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + starts[of]  # place of an n-gram by its first character
-        gram, first, inverse = np.unique(_name(points, ORDER)[at], return_index=True, return_inverse=True)
-        y = np.array([y for y, _ in part])[of]
-        at = at[first]
-        columns = [gram, *(_name(points, n)[at] for n in range(ORDER - 1, 1, -1)), *(_cells(points, n)[at] for n in range(ORDER, 0, -1))]
+        gram, first, inverse = np.unique(_name(_windows(points), ORDER)[at], return_index=True, return_inverse=True)
+        y = np.array([y for y, _ in part], np.int8)[of]
+        once = [points[at[first] + k] for k in range(ORDER)]
+        columns = [gram, *(_name(once, n) for n in range(ORDER - 1, 1, -1)), *(_cells(once, n) for n in range(ORDER, 0, -1))]
         columns += [np.bincount(inverse[y == k], minlength=len(gram)) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
@@ -143,9 +147,10 @@ def log_ratio(share: dict, rest: dict, texts: list[str]) -> np.ndarray:
     points, starts, size = _padded(texts)
     if not size.sum():
         return np.zeros(len(texts))
-    p = np.full((len(points) - ORDER + 1, 1), 1 / (1 << NEXT_BITS), np.float32)
+    window = _windows(points)
+    p = np.full((len(window[0]), 1), 1 / (1 << NEXT_BITS), np.float32)
     for n in range(1, ORDER + 1):
-        cell = _cells(points, n)
+        cell = _cells(window, n)
         kinds = slice(0, 1) if n <= SHARED else slice(0, 2)
         p = share[n][cell, kinds] + rest[n][cell >> NEXT_BITS, kinds] * p
     ratio = np.log(p[:, 1]) - np.log(p[:, 0])
