@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import archive, decontaminate, impact_search, language, line_dedup, mixing, report_text, simhash, toxicity
+from radiolake.llm import archive, decontaminate, impact_search, language, licences, line_dedup, mixing, report_text, simhash, toxicity
 from radiolake.llm.sql import SQL  # noqa: F401
 from radiolake.session import cut_lineage
 
@@ -106,3 +106,9 @@ def op7_html_extraction(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     out = report_text.report_text(pages.select(pages.page_id.alias("report_id"), "url", "html"))
     return out.select(F.col("report_id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op3_license_scan(spark, sf_dir):
+    out = licences.scan_licences(chunks_of(table(spark, sf_dir, "documents")), licences.fit_licences())
+    return out.withColumnRenamed("chunk_id", "doc_id")
