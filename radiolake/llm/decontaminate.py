@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.llm.common import in_portions
+from radiolake.llm.common import free_name, in_portions
 from radiolake.llm.points import normalised
 from radiolake.session import cut_lineage
 
@@ -237,5 +237,6 @@ def _search(shared, id_type):
 def without_leaks(chunks: DataFrame, scenarios: DataFrame, chunk_id: str = "chunk_id", text: str = "text", **names: str) -> DataFrame:
     """The chunks that contain no scenario. Chunks without an id are judged together: one leak among them drops them all."""
     leaks = scenario_leaks(chunks, scenarios, chunk_id, text, **names)
-    bad = cut_lineage(leaks.select(F.col("chunk_id").alias("_leak")).distinct(), "leaks")
-    return chunks.join(bad, chunks[chunk_id].eqNullSafe(F.col("_leak")), "left_anti")
+    name = free_name(chunks, "_leak")
+    bad = cut_lineage(leaks.select(F.col("chunk_id").alias(name)).distinct(), "leaks")
+    return chunks.join(bad, chunks[chunk_id].eqNullSafe(F.col(name)), "left_anti")

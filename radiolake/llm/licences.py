@@ -210,7 +210,7 @@ def scan_licences(chunks: DataFrame, model: LicenceModel, chunk_id: str = "chunk
             best = [min(x, key=lambda n: n[:2]) if x else (False, 0.0, NONE) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("chunk_id"), pa.array([b[2] for b in best], pa.string()), pa.array([sorted({n[2] for n in x}) for x in found], pa.list_(pa.string())),
-                 pa.array([len(x) for x in found], pa.int64()), pa.array([-b[1] for b in best], pa.float64())],
+                 pa.array([len(x) for x in found], pa.int64()), pa.array([0.0 - b[1] for b in best], pa.float64())],
                 ["chunk_id", "licence", "families", "n_notices", "score"],
             )
 

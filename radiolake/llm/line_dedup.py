@@ -24,6 +24,7 @@ def _lines(df: DataFrame, chunk_id: str, text: str, min_chars: int) -> DataFrame
 
 def _marked(df: DataFrame, chunk_id: str, text: str, min_chars: int, min_chunks: int) -> tuple[DataFrame, str]:
     """The frame with one more struct column (n_lines, n_dropped, text), and that column's name."""
+    c, v, places, all_lines, dropped, out = (free_name(df, n) for n in ("_c", "_v", "_places", "_all_lines", "_dropped", "_line_dedup"))
     lines = _lines(df, chunk_id, text, min_chars)
     # (hash, chunk) is counted before hash alone, so a line that everyone has is spread over the tasks
     shared = (
@@ -36,14 +37,12 @@ def _marked(df: DataFrame, chunk_id: str, text: str, min_chars: int, min_chunks:
     gone = (
         lines.join(shared, ["h1", "h2"])
         .where(F.col("c") != F.col("keeper"))
-        .groupBy(F.col("c").alias("_c"), F.col("v").alias("_v"))
-        .agg(F.collect_set("pos").alias("_gone"))
+        .groupBy(F.col("c").alias(c), F.col("v").alias(v))
+        .agg(F.collect_set("pos").alias(places))
     )
-    out = free_name(df, "_line_dedup")
-    joined = df.join(gone, (df[chunk_id] == F.col("_c")) & (F.xxhash64(text_of(df, text)) == F.col("_v")), "left")
-    all_lines, dropped = free_name(df, "_all_lines"), free_name(df, "_dropped")
+    joined = df.join(gone, (df[chunk_id] == F.col(c)) & (F.xxhash64(text_of(df, text)) == F.col(v)), "left")
     joined = joined.withColumns(
-        {all_lines: F.split(text_of(df, text), "\n", -1), dropped: F.coalesce("_gone", F.array().cast("array<int>"))}
+        {all_lines: F.split(text_of(df, text), "\n", -1), dropped: F.coalesce(places, F.array().cast("array<int>"))}
     )
     # positions left over come from one set difference, so a text of very many lines stays linear
     left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(dropped))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.llm.common import text_of
+from radiolake.llm.common import free_name, text_of
 from radiolake.llm.components import components
 from radiolake.session import cut_lineage
 
@@ -217,6 +217,7 @@ def one_of_each(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text
     Chunks without an id stay only where their class has no chunk with one.
     """
     classes = near_duplicates(chunks.select(chunk_id, text), chunk_id, text, words, budget)
-    stay = classes.where(F.col("chunk_id").eqNullSafe(F.col("component_id"))).select(F.col("chunk_id").alias("_stay")).distinct()
-    rows = chunks.join(stay, chunks[chunk_id].eqNullSafe(F.col("_stay"))).select(*[chunks[c] for c in chunks.columns])
+    name = free_name(chunks, "_stay")
+    stay = classes.where(F.col("chunk_id").eqNullSafe(F.col("component_id"))).select(F.col("chunk_id").alias(name)).distinct()
+    rows = chunks.join(stay, chunks[chunk_id].eqNullSafe(F.col(name))).select(*[chunks[c] for c in chunks.columns])
     return rows.dropDuplicates([chunk_id])

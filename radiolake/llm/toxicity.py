@@ -18,7 +18,7 @@ ORDER = 4
 SHARED = 2
 DISCOUNT = 0.75
 #: bits of the context bucket by order; a context has 64 buckets for the next character
-CONTEXT_BITS = {1: 0, 2: 6, 3: 12, 4: 16}
+CONTEXT_BITS = {1: 0, 2: 10, 3: 14, 4: 16}
 NEXT_BITS = 6
 PORTION = 1 << 20
 BINS = 1024
@@ -186,7 +186,7 @@ def fit_abuse(feedback: DataFrame, feedback_id: str = "feedback_id", comment: st
     All labelled comments are used whole: four fifths (by a hash of the id) count
     n-grams, the rest place the logistic curve that turns log ratios into scores; what
     Spark shuffles are distinct n-grams per portion of text, so it grows with the
-    input. The tables have a fixed number of cells (about 4.5 million at ``ORDER`` 4),
+    input. The tables have a fixed number of cells (about 5.3 million at ``ORDER`` 4),
     which bounds what is broadcast. Without both classes the curve is a fixed one.
     """
     rows = feedback.select(
