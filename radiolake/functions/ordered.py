@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+KEY = "_key"  # the key columns as one struct: equal where both sides are null, so rows without a key stay
 DAY = 86_400
 BLOCK = 65_536  # rows
 
@@ -34,8 +35,12 @@ def sliced(df: DataFrame, ts: str = "ts", width_s: int = DAY) -> DataFrame:
 
 
 def sliced_by_number(df: DataFrame, col: str = "seq", width: int = BLOCK) -> DataFrame:
-    """Slices of a running number (file position) instead of time."""
-    return df.withColumn(SLICE, F.floor(F.col(col) / F.lit(width)))
+    """Slices of a running number (file position) instead of time. Rows without a number share the first slice."""
+    return df.withColumn(SLICE, F.coalesce(F.floor(F.col(col) / F.lit(width)), F.lit(-(1 << 40))))
+
+
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
 
 
 def _order(order: Sequence[str]) -> Column:
@@ -60,7 +65,8 @@ def _inside(keys: Sequence[str], order: Sequence[str]):
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], rn: str = "rn", total: str = "n") -> DataFrame:
     """Exact 1-based row number and row count per key over a sliced frame."""
-    at = [*keys, SLICE]
+    columns, df, keys = df.columns, _keyed(df, keys), [KEY]
+    at = [KEY, SLICE]
     sizes = df.groupBy(*at).agg(F.count(F.lit(1)).alias("_size"))
     base = sizes.select(
         *at,
@@ -70,7 +76,7 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], rn: str =
     return (
         df.join(base, at)
         .withColumn(rn, F.col("_base") + F.row_number().over(_inside(keys, order)))
-        .drop("_base")
+        .select(*columns, total, rn)
     )
 
 
@@ -88,7 +94,8 @@ def neighbours(
     row number ``rn`` and count ``n`` of the series in the same pass.
     """
     prev, nxt = dict(prev or {}), dict(nxt or {})
-    at = [*keys, SLICE]
+    columns, df, keys = df.columns, _keyed(df, keys), [KEY]
+    at = [KEY, SLICE]
     aggs, cols = [], list(at)
     if number:
         aggs.append(F.count(F.lit(1)).alias("_size"))
@@ -114,7 +121,7 @@ def neighbours(
         row = F.struct(*[F.col(s).alias(n) for n, s in nxt.items()])
         out = out.withColumn("_q", F.coalesce(F.lead(row).over(w), F.col("_carry_next")))
     out = out.select(
-        *df.columns,
+        *columns,
         *[F.col(f"_p.{n}").alias(n) for n in prev],
         *[F.col(f"_q.{n}").alias(n) for n in nxt],
         *([(F.col("_base") + F.row_number().over(w)).alias("rn"), "n"] if number else []),
@@ -135,7 +142,8 @@ def running(
     ``peers=True`` includes rows that tie on the order column; ``reverse=True``
     runs from the series end backwards.
     """
-    at = [*keys, SLICE]
+    columns, df, keys = df.columns, _keyed(df, keys), [KEY]
+    at = [KEY, SLICE]
     fold = {"sum": F.sum, "min": F.min, "max": F.max}
     cols = {name: f"_x_{name}" for name in spec}
     work = df.select("*", *[c.alias(cols[name]) for name, (_, c) in spec.items()])
@@ -170,7 +178,7 @@ def running(
             out.append(F.least(F.min(x).over(w), c).alias(name))
         else:
             out.append(F.greatest(F.max(x).over(w), c).alias(name))
-    return work.join(carry, at).select(*df.columns, *out)
+    return work.join(carry, at).select(*columns, *out)
 
 
 def series_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -234,9 +242,7 @@ def exact_percentiles(
     the bins holding a wanted rank are ordered.  The sketch decides bin sizes,
     never the answer.  Output: keys, ``n`` and one column ``p0, p1 ...`` per prob.
     """
-    ks = list(keys)
-    if not ks:
-        df, ks = df.withColumn("_one", F.lit(1)), ["_one"]
+    df, ks = _keyed(df, keys), [KEY]
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*ks, F.col(value).alias("_v"))
@@ -298,4 +304,4 @@ def exact_percentiles(
         at = F.lit(float(p)) * (F.col("n") - 1)
         frac = at - F.floor(at)
         outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).alias(f"p{i}"))
-    return picked.select(*keys, "n", *outs)
+    return picked.select(*[F.col(f"{KEY}.`{k}`").alias(k) for k in keys], "n", *outs)

@@ -30,7 +30,7 @@ def rolling_backtest(series: DataFrame, freq: DataFrame | None = None, horizon_h
     freq = freq if freq is not None else sampling_interval(series)
     rows = O.ordinal(O.sliced(P.known(series), "ts", width_s), KEYS, ORDER).drop(O.SLICE)
     rows = P.with_horizon(rows, freq, horizon_h).withColumn(
-        "s", F.greatest(F.lit(1), F.floor(F.lit(step_h * 3600.0) / F.col("freq_s")).cast("int"))
+        "s", F.greatest(F.lit(1), F.floor(F.lit(step_h * 3600.0) / F.nullif(F.col("freq_s"), F.lit(0).cast("double"))).cast("int"))
     )
     top = F.col("n") - F.col("h")  # newest origin
     rows = rows.withColumn("_top", top).where(F.col("_top") >= min_train)

@@ -25,14 +25,20 @@ BUCKETS = [
 ]
 
 
-def event_time(df: DataFrame, names: Sequence[str] = ("ts", "timestamp", "time")) -> Column:
-    """Own time of the anomaly; markers like "trend" and missing values become null."""
+def event_time(df: DataFrame, names: Sequence[str] = ("timestamp", "ts", "time")) -> Column:
+    """Own time of the anomaly: the first of the columns with a value decides; markers like "trend" give null."""
     have = [n for n in names if n in df.columns]
     parsed = [
         F.col(n) if dict(df.dtypes)[n].startswith("timestamp") else F.try_to_timestamp(F.col(n).cast("string"))
         for n in have
     ]
-    return F.coalesce(*parsed, F.lit(None).cast("timestamp"))
+    if not have:
+        return F.lit(None).cast("timestamp")
+    out = F
+    for n, value in zip(have, parsed):
+        blank = F.col(n).isNull() if dict(df.dtypes)[n].startswith("timestamp") else F.trim(F.coalesce(F.col(n).cast("string"), F.lit(""))) == ""
+        out = out.when(~blank, value)
+    return out.otherwise(F.lit(None).cast("timestamp"))
 
 
 def to_events(anomalies: DataFrame, source: str | None = None, state: str = "current", lead_time_h: float = 0.0) -> DataFrame:

@@ -31,12 +31,16 @@ def known(series: DataFrame) -> DataFrame:
 
 
 def horizon_periods(freq_s: Column, horizon_h: float = HORIZON_H) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.lit(horizon_h * 3600.0) / freq_s).cast("int"))
+    return F.greatest(F.lit(1), F.floor(F.lit(horizon_h * 3600.0) / F.nullif(freq_s, F.lit(0).cast("double"))).cast("int"))
 
 
 def with_horizon(df: DataFrame, freq: DataFrame, horizon_h: float = HORIZON_H) -> DataFrame:
-    """Attach the sampling interval (a one-row frame, read as a scalar) and the number of periods ahead."""
-    return df.withColumn("freq_s", freq.scalar()).withColumn("h", horizon_periods(F.col("freq_s"), horizon_h))
+    """Attach the sampling interval (a one-row frame, read as a scalar) and the number of periods ahead.
+
+    Without a usable interval (none, or zero because times repeat) there is no forecast: no rows.
+    """
+    timed = df.withColumn("freq_s", F.nullif(freq.scalar(), F.lit(0).cast("double"))).where(F.col("freq_s") > 0)
+    return timed.withColumn("h", horizon_periods(F.col("freq_s"), horizon_h))
 
 
 # ---------------------------------------------------------------- trend with band

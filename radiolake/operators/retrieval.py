@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,24 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiolake.functions.columns import rnd, row_of
+from radiolake.session import cut_lineage
 
-QUERY_LIMIT = 4096
-PART_ROWS = 50_000
+QUERY_ROWS = 2048
+PART_ROWS = 16_384
 WORD = r"[\p{L}\p{N}]+"
 
 
-def _batch_topk(ids: np.ndarray, vecs: np.ndarray, qids: np.ndarray, qvecs: np.ndarray, k: int) -> pd.DataFrame:
-    """Rows of one batch that can still be among the k best of a query (ties at the k-th place kept)."""
-    return _topk_columns(ids, vecs @ qvecs.T, qids, k)
-
-
-def _topk_columns(ids: np.ndarray, scores: np.ndarray, qids: np.ndarray, k: int, raw: np.ndarray | None = None) -> pd.DataFrame:
-    raw = scores if raw is None else raw
+def _topk_columns(ids: np.ndarray, scores: np.ndarray, qids: np.ndarray, k: int) -> pd.DataFrame:
+    """Rows of one part that can still be among the k best of a query (ties at the k-th place kept)."""
     parts = []
     for j in range(len(qids)):
         s = scores[:, j]
         keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-        parts.append(pd.DataFrame({"query_id": qids[j], "vec_id": ids[keep], "score": raw[keep, j]}))
+        parts.append(pd.DataFrame({"query_id": qids[j], "vec_id": ids[keep], "score": s[keep]}))
     return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -46,30 +40,15 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
 RESULT = "query_id bigint, vec_id bigint, score double"
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, limit: int = QUERY_LIMIT) -> DataFrame:
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """Exact inner-product top-k of unit vectors (query_id, embedding) x (vec_id, embedding).
 
-    Up to ``limit`` queries travel to the tasks as one matrix; each Arrow batch
-    of the corpus gives back k rows per query.  More queries take the block way.
+    Blocks of about ``QUERY_ROWS`` queries meet parts of about ``PART_ROWS`` corpus rows in
+    co-groups of bounded size, and each part gives back k rows per query (more on
+    a tie at the k-th place). The plan is the same for ten queries and for ten million.
     """
-    q = queries.select("query_id", "embedding").limit(limit + 1).toPandas()
-    if len(q) > limit:
-        return _cosine_blocks(queries, corpus, k, limit)
-    shared = corpus.sparkSession.sparkContext.broadcast((q["query_id"].to_numpy(), _stack(q["embedding"])))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qvecs = shared.value
-        for pdf in batches:
-            if len(pdf) and len(qids):
-                yield _batch_topk(pdf["vec_id"].to_numpy(), _stack(pdf["embedding"]), qids, qvecs, k)
-
-    return _best(corpus.select("vec_id", "embedding").mapInPandas(search, RESULT), k)
-
-
-def _cosine_blocks(queries: DataFrame, corpus: DataFrame, k: int, limit: int) -> DataFrame:
-    """Blocks of queries meet parts of the corpus in co-groups of bounded size."""
-    blocks = max(1, math.ceil(queries.count() / limit) * 2)
-    parts = max(1, math.ceil(corpus.count() / PART_ROWS) * 2)
+    blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
+    parts = max(1, math.ceil(corpus.count() / PART_ROWS))
     q = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"))
     q = q.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
     c = corpus.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("p"))
@@ -78,26 +57,33 @@ def _cosine_blocks(queries: DataFrame, corpus: DataFrame, k: int, limit: int) ->
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _batch_topk(right["vec_id"].to_numpy(), _stack(right["embedding"]), left["query_id"].to_numpy(), _stack(left["embedding"]), k)
+        scores = _stack(right["embedding"]) @ _stack(left["embedding"]).T
+        return _topk_columns(right["vec_id"].to_numpy(), scores, left["query_id"].to_numpy(), k)
 
     return _best(q.groupBy("p", "b").cogroup(c.groupBy("p", "b")).applyInPandas(search, RESULT), k)
 
 
-def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, bucket: float = 1.0, tables: int = 6,
-                max_distance: float = 1.2, seed: int = 42) -> DataFrame:
-    """Approximate top-k by random-projection hashing (MLlib); candidates share a bucket in some table."""
+def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, bucket: float = 0.25, tables: int = 12, seed: int = 42) -> DataFrame:
+    """Approximate top-k by random-projection hashing (MLlib); candidates share a bucket in some table.
+
+    ``bucket`` is about the spread of a unit vector of 64 components on a random line, so a
+    table has several buckets. No distance is too large to be a candidate. A query that
+    meets fewer than k candidates is answered by ``cosine_topk`` instead.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     vec = lambda df, i: df.select(F.col(i).alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed)
     model = lsh.fit(vec(corpus, "vec_id"))
-    pairs = model.approxSimilarityJoin(vec(queries, "query_id"), vec(corpus, "vec_id"), max_distance, "d")
+    pairs = model.approxSimilarityJoin(vec(queries, "query_id"), vec(corpus, "vec_id"), float("inf"), "d")
     cand = pairs.select(
         F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("vec_id"),
         (1.0 - F.col("d") * F.col("d") / 2.0).alias("score"),
     )
-    return _best(cand, k)
+    found = cut_lineage(_best(cand, k), "near-vectors")
+    full = found.where(F.col("rank") == k).select("query_id")
+    return found.join(full, "query_id", "left_semi").unionByName(cosine_topk(queries.join(full, "query_id", "left_anti"), corpus, k))
 
 
 def words(text: Column) -> Column:
@@ -112,74 +98,32 @@ def _idf(n_docs: Column) -> Column:
     return F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, limit: int = QUERY_LIMIT) -> DataFrame:
-    """BM25 ranking of whole documents (doc_id, text) for queries (query_id, text).
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """BM25 ranking of whole documents (doc_id, text) for queries (query_id, text), all in joins and sums.
 
-    First pass: document frequencies of the query words and the mean length, counted map-side.
-    Second pass: documents stream past the weighted query words and each batch
-    gives back k rows per query, so a word found in a third of all documents
-    costs no shuffle.  More than ``limit`` queries are ranked by joins.
+    One pass cuts the texts into words and keeps, per document, the counts of words
+    that some query has; the empty word, which no text has, stands for the document
+    itself and gives the number of documents and their mean length. Counts are made before
+    the shuffle, so a word found in every document is one row a document. Weights are one
+    row per query and word.
     """
-    asked = queries.select("query_id", "text").limit(limit + 1).toPandas()
-    if len(asked) > limit:
-        return _bm25_join(queries, docs, k, k1, b)
-    terms = _terms(docs.sparkSession.createDataFrame(asked, "query_id bigint, text string"))
+    terms = cut_lineage(_terms(queries), "query-terms")
+    vocab = terms.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
     sized = docs.select("doc_id", words(F.col("text")).alias("w"))
-    pairs = terms.toPandas()
-    # one pass counts documents per query word; the empty word, which no text has, counts all of them
-    vocab = docs.sparkSession.createDataFrame([(t,) for t in sorted({"", *pairs["term"]})], "term string")
-    each = sized.select(F.size("w").alias("len"), F.explode(F.array_append(F.array_distinct("w"), F.lit(""))).alias("term"))
-    counts = each.join(vocab, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len")).toPandas()
-    everything = counts[counts["term"] == ""]
-    n_docs = int(everything["df"].sum())
-    avg_len = float(everything["len"].sum()) / max(n_docs, 1) or 1.0
-    counts["idf"] = np.log((n_docs - counts["df"] + 0.5) / (counts["df"] + 0.5) + 1.0)
-    weights = pairs.merge(counts[["term", "idf"]], on="term")
-    qids = np.sort(weights["query_id"].unique())
-    place = {qid: i for i, qid in enumerate(qids)}
-    table = {
-        t: (np.array([place[x] for x in g["query_id"]]), g["idf"].to_numpy()) for t, g in weights.groupby("term")
-    }
-    shared = docs.sparkSession.sparkContext.broadcast((qids, table))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, known = shared.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            scores = np.zeros((len(pdf), len(ids)))
-            for i, tokens in enumerate(pdf["w"]):
-                base = k1 * (1 - b + b * len(tokens) / avg_len)
-                for term, tf in Counter(tokens).items():
-                    hit = known.get(term)
-                    if hit is not None:
-                        scores[i, hit[0]] += hit[1] * (tf * (k1 + 1) / (tf + base))
-            found = _topk_columns(pdf["doc_id"].to_numpy(), np.rint(scores * 1e6), ids, k, raw=scores)
-            yield found[found["score"] > 0].rename(columns={"vec_id": "doc_id"})
-
-    cand = sized.mapInPandas(search, "query_id bigint, doc_id bigint, score double")
-    return _ranked_docs(cand.withColumnRenamed("score", "raw"), k)
-
-
-def _ranked_docs(scores: DataFrame, k: int) -> DataFrame:
+    each = sized.select("doc_id", F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    each = each.join(cut_lineage(vocab, "query-words"), "term", "left_semi")
+    tf = cut_lineage(each.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = row_of(tf.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")))
+    df = tf.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = terms.join(df, "term").withColumn("_st", stats)
+    weights = cut_lineage(weights.select("query_id", "term", _idf(F.col("_st.n")).alias("idf"), F.col("_st.avg_len").alias("avg_len")), "query-weights")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    scores = tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"))
     w = Window.partitionBy("query_id").orderBy(rnd("raw", 6).desc(), "doc_id")
     ranked = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "doc_id", rnd("raw", 4).alias("score"), "rank")
 
 
-def _bm25_join(queries: DataFrame, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    """The same ranking by joining postings with query words; for query sets too large to send along."""
-    q = _terms(queries)
-    sized = docs.select("doc_id", words(F.col("text")).alias("w"))
-    stats = row_of(sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_len")))
-    posts = sized.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    tf = posts.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = q.join(df, "term").withColumn("_st", stats).select("query_id", "term", _idf(F.col("_st.n")).alias("idf"), F.col("_st.avg_len").alias("avg_len"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return _ranked_docs(tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw")), k)
-
-
 def tfidf_vectors(docs: DataFrame, buckets: int = 1 << 16) -> DataFrame:
     """Hashed TF-IDF vectors of unit length (MLlib)."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer

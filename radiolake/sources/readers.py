@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from radiolake.catalogue import kpi as K
@@ -21,14 +21,15 @@ PACKET_SCHEMA = (
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: str | None = None) -> DataFrame:
     """CSV, Parquet, ORC or JSON by suffix or flag; folders and globs are fine.
 
-    Adds ``seq``, the position in the file, because ties follow file order.
+    Adds ``seq``, because ties follow file order: for Parquet the row's number over all
+    files by name, for text formats a number that rises with the position but is not without gaps.
     Without a schema CSV types are inferred; give one for large inputs.
     """
     kind = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "parquet":
         df = reader.parquet(path)
-        return df.select("*", F.col("_metadata.row_index").alias("seq")) if "seq" not in df.columns else df
+        return df if "seq" in df.columns else _numbered(df)
     if kind == "csv":
         df = reader.csv(path, header=True, inferSchema=schema is None)
     elif kind in ("json", "jsonl"):
@@ -40,6 +41,15 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: s
     return df if "seq" in df.columns else df.withColumn("seq", F.monotonically_increasing_id())
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Row numbers from 0 over the files in order of their names; the sizes of the files are one small row each."""
+    at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = at.groupBy("_file").agg((F.max("_row") + 1).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_base"))
+    return at.join(bases, "_file").select(*df.columns, (F.col("_base") + F.col("_row")).alias("seq"))
+
+
 def read_feedback(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Verdict records, newest first; lines that are not JSON are skipped."""
     df = spark.read.schema(FEEDBACK_SCHEMA).option("mode", "DROPMALFORMED").json(path)

@@ -121,3 +121,26 @@ def test_hot_key_is_spread(df):
     """The busiest (key, slice) group holds a small part of the hot key."""
     sizes = df.groupBy("k", O.SLICE).count().agg(F.max("count")).first()[0]
     assert sizes < df.where("k = 'hot'").count() / 10
+
+
+# ------------------------------------------------------------ rows without a key, time or number
+
+def odd_rows(spark):
+    rows = [(None, 1, 1.0), (None, 2, 3.0), ("a", 3, 5.0), ("a", None, 7.0), ("b", None, None)]
+    return O.sliced_by_number(spark.createDataFrame(rows, "cell string, seq bigint, v double"), "seq", 2)
+
+
+def test_null_keys_and_numbers_keep_their_rows(spark):
+    df = odd_rows(spark)
+    numbered = O.ordinal(df, ["cell"], ["seq"]).collect()
+    assert sorted((r.cell or "", r.rn, r.n) for r in numbered) == [("", 1, 2), ("", 2, 2), ("a", 1, 2), ("a", 2, 2), ("b", 1, 1)]
+    total = O.running(df, ["cell"], ["seq"], {"s": ("sum", F.col("v"))}).collect()
+    assert sorted((r.cell or "", r.s) for r in total) == [("", 1.0), ("", 4.0), ("a", 7.0), ("a", 12.0), ("b", 0.0)]
+    near = O.neighbours(df, ["cell"], ["seq"], prev={"before": "v"}).collect()
+    assert sorted((r.cell or "", r.before or 0.0) for r in near) == [("", 0.0), ("", 1.0), ("a", 0.0), ("a", 7.0), ("b", 0.0)]
+
+
+def test_percentiles_of_the_null_group(spark):
+    out = O.exact_percentiles(odd_rows(spark), ["cell"], "v", [0.5]).collect()
+    assert {r.cell: (r.n, r.p0) for r in out} == {None: (2, 2.0), "a": (2, 6.0)}
+    assert [r.p0 for r in O.exact_percentiles(odd_rows(spark), [], "v", [0.5]).collect()] == [4.0]

@@ -66,3 +66,10 @@ def test_downsample_index_rule(spark, n, limit):
     got = sorted(r["i"] for r in X.downsample(df, ["k"], ["ts"], limit).collect())
     want = list(range(n)) if n <= limit else [int(i * (n / limit)) for i in range(limit)]
     assert got == want
+
+
+def test_row_numbers_run_over_all_files(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    out = readers.read_table(spark, f"{tmp_path}/in/*", fmt="parquet").orderBy("seq").collect()
+    assert [(r.seq, r.id) for r in out] == [(i, i) for i in range(30)]
