@@ -11,6 +11,7 @@ from radiolake.catalogue import counters as C
 from radiolake.catalogue import kpi as K
 from radiolake.functions import ordered as O
 from radiolake.functions.columns import contains_any, rnd, seconds
+from radiolake.session import cut_lineage
 
 BASELINE_ROWS, BASELINE_MIN = 60, 5
 
@@ -94,6 +95,8 @@ def throughput_direction(kpi: Column) -> Column:
 def capacity_share(facts: DataFrame, capacities: DataFrame | None = None) -> DataFrame:
     """Add dir, capacity_mbps and normalized_pct; null unless a throughput KPI of a cell with known capacity."""
     caps = capacities if capacities is not None else capacity_map(facts)
+    if not caps.isStreaming:  # written, its size is known: broadcast if small, else a join that can split hot cells
+        caps = cut_lineage(caps, "capacities")
     joined = facts.join(caps.select("cell_id", "dl_mbps", "ul_mbps"), "cell_id", "left")
     mbps = F.when(F.col("dir") == "dl", F.col("dl_mbps")).when(F.col("dir") == "ul", F.col("ul_mbps"))
     return (

@@ -275,11 +275,11 @@ def detect_iqr(facts: DataFrame, k: float = 1.5, min_points: int = 4, dim: DataF
         "label", F.lit("="), _num("value"), "unit", F.lit(" outside fence by "), _num("dev"), "unit"))
 
 
-def _worst(rows: DataFrame, high: Column) -> DataFrame:
-    """Largest deviation per (kpi, cell); the earliest row wins ties.  Map-side combined."""
+def _worst(rows: DataFrame, high: Column, by_time: bool = False) -> DataFrame:
+    """Largest deviation per (kpi, cell); the first row in the file, or in time, wins ties.  Map-side combined."""
     keep = ["gnb_id", "ts", "value", "dev", "label", "category", "unit", "warning", "critical", "advice"]
     row = F.struct(*keep, F.when(high, "High").otherwise("Medium").alias("severity"))
-    best = F.max_by(row, F.struct("dev", -F.col("seq")))
+    best = F.max_by(row, F.struct("dev", -F.unix_micros("ts"), -F.col("seq")) if by_time else F.struct("dev", -F.col("seq")))
     return rows.groupBy("kpi", "cell_id").agg(best.alias("r")).select("kpi", "cell_id", "r.*")
 
 
@@ -368,7 +368,7 @@ def detect_cusum(facts: DataFrame, threshold: float = 5.0, k: float = 0.5, refer
 
 def detect_bollinger(facts: DataFrame, window: int = 5, k: float = 2.0, floor: float = 0.5, min_prior: int = 3,
                      dim: DataFrame | None = None, width_s: int = O.DAY, block: int = O.BLOCK) -> DataFrame:
-    """Band of the previous 5 readings; the worst break per (KPI, cell).
+    """Band of the previous 5 readings; the worst break per (KPI, cell), reported with the cell's first gNB.
 
     The current reading never widens its own band.
     """
@@ -387,8 +387,9 @@ def detect_bollinger(facts: DataFrame, window: int = 5, k: float = 2.0, floor: f
     dev = F.when(_worse_high(), F.col("value") - (F.col("mid") + k * F.col("sd"))).otherwise(
         (F.col("mid") - k * F.col("sd")) - F.col("value")
     )
-    out = j.withColumn("dev", dev).where(F.col("dev") > 0)
-    return emit(_worst(out, F.col("dev") > F.col("sd")), BOLLINGER, F.concat(
+    out = _worst(j.withColumn("dev", dev).where(F.col("dev") > 0), F.col("dev") > F.col("sd"), by_time=True)
+    first = rows.groupBy(*keys).agg(F.min_by("gnb_id", F.struct(*order)).alias("gnb_id"))
+    return emit(out.drop("gnb_id").join(first, keys), BOLLINGER, F.concat(
         "label", F.lit("="), _num("value"), "unit", F.lit(" outside rolling band by "), _num("dev"), "unit"))
 
 

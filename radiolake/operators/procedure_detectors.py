@@ -439,6 +439,7 @@ def transition_surprise(rows: DataFrame, keys: Sequence[str], token: Column, ord
     pairs = known.groupBy("_prev", "_tok").agg(F.count(F.lit(1)).alias("_c"))
     froms = pairs.groupBy("_prev").agg(F.sum("_c").alias("_t"))
     table = pairs.join(froms, "_prev").select("_prev", "_tok", (-F.log(F.col("_c") / F.col("_t"))).alias("surprise"))
+    table = cut_lineage(table, "transitions")  # of known size: the log is not shuffled on its hottest pairs
     scored = O.ordinal(known.join(table, ["_prev", "_tok"]), keys, order)
     spread, w, own = O.blocked(scored, keys, before=window - 1, block=block)
     mean = F.avg("surprise").over(w.rowsBetween(-(window - 1), 0))

@@ -46,9 +46,9 @@ TREND = """tx AS (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) / 1e6 / 3
  tf AS (SELECT metric, cell_id, regr_slope(value, x) AS s, arg_max(value, seq) AS v, count(*) AS n FROM tx GROUP BY ALL)"""
 
 
-@query("str1", f"WITH {COUNTERS_LONG_CTE}, {TREND} SELECT metric AS label, cell_id, 'Medium' AS severity, {r('abs(s)', 6)} AS score FROM tf WHERE n >= 8 AND abs(s) >= 1e-6")
+@query("str1", f"WITH {COUNTERS_LONG_CTE}, {TREND} SELECT metric AS label, cell_id, {r('v', 3)} AS value, 'Medium' AS severity, {r('abs(s)', 6)} AS score FROM tf WHERE n >= 8 AND abs(s) >= 1e-6")
 def str1(t: Tables):
-    return D.detect_trend(t.counters_long, slope_threshold=1e-6).select("label", "cell_id", "severity", rnd("score", 6).alias("score"))
+    return D.detect_trend(t.counters_long, slope_threshold=1e-6).select("label", "cell_id", "value", "severity", rnd("score", 6).alias("score"))
 
 
 def _iqr(k: float) -> str:
@@ -63,43 +63,45 @@ def siq1(t: Tables):
     return _out(D.detect_iqr(t.counters_long, k=0.3))
 
 
-@query("scu1", f"""WITH {COUNTERS_LONG_CTE}, a AS (SELECT metric, cell_id, count(*) AS n, avg(value) AS m, stddev_samp(value) AS s, max(value) AS hi, min(value) AS lo FROM counters_long GROUP BY ALL),
- b AS (SELECT metric, cell_id, greatest((hi - m) / s, (m - lo) / s) - 0.5 AS score FROM a WHERE n >= 15)
- SELECT metric AS label, cell_id, CASE WHEN score > 1.2 * 1.5 THEN 'High' ELSE 'Medium' END AS severity, {r('score', 4)} AS score FROM b WHERE score >= 1.2""")
+CUSUM = """ca AS (SELECT metric, cell_id, count(*) AS n, avg(value) AS m, stddev_samp(value) AS s, max(value) AS hi, min(value) AS lo, arg_max(value, seq) AS v FROM counters_long GROUP BY ALL),
+ cb AS (SELECT metric, cell_id, v, greatest((hi - m) / s, (m - lo) / s) - 0.5 AS score FROM ca WHERE n >= 15),
+ cu AS (SELECT *, CASE WHEN score > 1.2 * 1.5 THEN 'High' ELSE 'Medium' END AS severity FROM cb WHERE score >= 1.2)"""
+
+
+@query("scu1", f"WITH {COUNTERS_LONG_CTE}, {CUSUM} {_sel('cu')}")
 def scu1(t: Tables):
-    return D.detect_cusum(t.counters_long, threshold=1.2).select("label", "cell_id", "severity", rnd("score", 4).alias("score"))
+    return _out(D.detect_cusum(t.counters_long, threshold=1.2))
 
 
 def _boll(frame: str) -> str:
-    return f"""WITH {COUNTERS_LONG_CTE}, b AS (SELECT *, avg(value) OVER w AS mid, stddev_samp(value) OVER w AS sd, count(value) OVER w AS c,
+    return f"""bb AS (SELECT *, avg(value) OVER w AS mid, stddev_samp(value) OVER w AS sd, count(value) OVER w AS c,
  count(*) OVER (PARTITION BY metric, cell_id) AS n FROM counters_long WINDOW w AS (PARTITION BY metric, cell_id ORDER BY ts, seq, value ROWS BETWEEN {frame})),
- p AS (SELECT metric, cell_id, sum((c = 5 AND abs(value - mid) > 2.5 * sd)::INT) AS breaks, count(*) AS len FROM b WHERE n >= 7 GROUP BY ALL),
- s AS (SELECT metric, cell_id, breaks / len * 100.0 AS score FROM p WHERE breaks > 0)
- SELECT metric AS label, cell_id, CASE WHEN score > 8 THEN 'High' ELSE 'Medium' END AS severity, {r('score', 4)} AS score FROM s WHERE score >= 3"""
+ bp AS (SELECT metric, cell_id, sum((c = 5 AND abs(value - mid) > 2.5 * sd)::INT) AS breaks, count(*) AS len, arg_max(value, (ts, seq)) AS v FROM bb WHERE n >= 7 GROUP BY ALL),
+ bs AS (SELECT metric, cell_id, v, breaks / len * 100.0 AS score FROM bp WHERE breaks > 0),
+ bo AS (SELECT *, CASE WHEN score > 8 THEN 'High' ELSE 'Medium' END AS severity FROM bs WHERE score >= 3)"""
 
 
-@query("sbo1", _boll("4 PRECEDING AND CURRENT ROW"))
+@query("sbo1", f"WITH {COUNTERS_LONG_CTE}, {_boll('4 PRECEDING AND CURRENT ROW')} {_sel('bo')}")
 def sbo1(t: Tables):
-    out = D.detect_bollinger(t.counters_long, width_s=30 * 86400)
-    return out.select("label", "cell_id", "severity", rnd("score", 4).alias("score"))
+    return _out(D.detect_bollinger(t.counters_long, width_s=30 * 86400))
 
 
-@query("sbo1_lagged", _boll("5 PRECEDING AND 1 PRECEDING"))
+@query("sbo1_lagged", f"WITH {COUNTERS_LONG_CTE}, {_boll('5 PRECEDING AND 1 PRECEDING')} {_sel('bo')}")
 def sbo1_lagged(t: Tables):
-    out = D.detect_bollinger(t.counters_long, lagged=True, width_s=30 * 86400)
-    return out.select("label", "cell_id", "severity", rnd("score", 4).alias("score"))
-
-
+    return _out(D.detect_bollinger(t.counters_long, lagged=True, width_s=30 * 86400))
 
 
-@query("smg1", f"""WITH {COUNTERS_LONG_CTE}, {COUNTER_DIM_CTE}, {STH}, {_peer(1.5)}, {_iqr(0.3)},
+@query("smg1", f"""WITH {COUNTERS_LONG_CTE}, {COUNTER_DIM_CTE}, {STH}, {_peer(1.5)}, {_iqr(0.3)}, {TREND}, {CUSUM}, {_boll('5 PRECEDING AND 1 PRECEDING')},
  u AS (SELECT metric, cell_id, v, severity, score, 1 AS place, 'Threshold' AS detector FROM th WHERE severity IS NOT NULL
- UNION ALL SELECT metric, cell_id, v, severity, score, 2, 'Peer Comparison' FROM pe UNION ALL SELECT metric, cell_id, v, severity, score, 4, 'IQR' FROM ir)
+ UNION ALL SELECT metric, cell_id, v, severity, score, 2, 'Peer Comparison' FROM pe UNION ALL SELECT metric, cell_id, v, severity, score, 4, 'IQR' FROM ir
+ UNION ALL SELECT metric, cell_id, v, 'Medium', abs(s), 3, 'Trend' FROM tf WHERE n >= 8 AND abs(s) >= 1e-6
+ UNION ALL SELECT metric, cell_id, v, severity, score, 5, 'CUSUM' FROM cu UNION ALL SELECT metric, cell_id, v, severity, score, 6, 'Bollinger Bands' FROM bo)
  SELECT metric AS label, cell_id, {r('v', 3)} AS value, severity, {r('score', 4)} AS score, detector FROM u
  QUALIFY row_number() OVER (PARTITION BY metric, cell_id ORDER BY {SEV} DESC, place) = 1""")
 def smg1(t: Tables):
-    opts = {D.PEER: {"z_threshold": 1.5}, D.IQR: {"k": 0.3}}
-    out = D.detect_counters(t.counters_long, detectors=[D.THRESHOLD, D.PEER, D.IQR], options=opts)
+    opts = {D.PEER: {"z_threshold": 1.5}, D.IQR: {"k": 0.3}, D.TREND: {"slope_threshold": 1e-6}, D.CUSUM: {"threshold": 1.2},
+            D.BOLLINGER: {"lagged": True, "width_s": 30 * 86400}}
+    out = D.detect_counters(t.counters_long, options=opts)
     return out.select("label", "cell_id", "value", "severity", rnd("score", 4).alias("score"), "detector")
 
 

@@ -122,6 +122,6 @@ def kcu1_path(t: Tables):
  d AS (SELECT b.*, greatest(sd, 0.5) AS s, CASE WHEN direction = 'lower_better' THEN value - (mid + 2 * greatest(sd, 0.5))
  ELSE (mid - 2 * greatest(sd, 0.5)) - value END AS dev FROM b JOIN kpi_dim USING (kpi) WHERE c >= 3 AND n >= 6)
  SELECT kpi, cell_id, ts, {r('value', 3)} AS value, CASE WHEN dev > s THEN 'High' ELSE 'Medium' END AS severity FROM d WHERE dev > 0
- QUALIFY row_number() OVER (PARTITION BY kpi, cell_id ORDER BY dev DESC, seq) = 1""")
+ QUALIFY row_number() OVER (PARTITION BY kpi, cell_id ORDER BY dev DESC, ts, seq) = 1""")
 def kbo1(t: Tables):
     return D.detect_bollinger(t.kpi).select("kpi", "cell_id", "ts", "value", "severity")

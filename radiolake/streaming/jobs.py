@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,7 +20,7 @@ from radiolake.operators import feedback as B
 from radiolake.operators import kpi_detectors as D
 from radiolake.operators.events import SOURCES, correlation_key
 from radiolake.operators.signalling import role_class, transaction_key
-from radiolake.session import fresh_path
+from radiolake.session import cut_lineage, fresh_path
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files: str | None = None,
@@ -181,14 +182,20 @@ def online_cusum(kpi_stream: DataFrame, reference_window: int, threshold: float
 
 def retrain_on_arrival(feedback_stream: DataFrame, store: str, params_path: str, checkpoint: str,
                        after: Callable[[DataFrame], None] | None = None) -> None:
-    """Add new verdict files to the store and recompute parameters; for a nightly run.
+    """Add new verdict files to the store and move the saved parameters on; for a nightly run.
 
     The batch number names the written part, so a repeated batch replaces itself.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        updates = B.retrain(df.sparkSession.read.parquet(store))
+        spark = df.sparkSession
+        try:
+            saved = spark.read.schema("detector string, param string, value double").json(params_path)
+        except AnalysisException:  # the first night
+            saved = None
+        # the new table replaces the one that it is made from
+        updates = cut_lineage(B.retrain(spark.read.parquet(store), B.current_params(spark, saved)), "retrained")
         B.save_params(updates, params_path)
         if after:
             after(updates)
