@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from radiolake.llm.common import WORD, free_name
 from radiolake.session import cut_lineage
 
-BINS = 1 << 14
+BINS, COARSE = 1 << 14, 1 << 7
 
 
 def _draw(df: DataFrame, chunk_id: str, seed: str) -> Column:
@@ -59,18 +59,11 @@ def _plan(sized: DataFrame, weights: Sequence[float], share: float, most: float)
     )
     spec = spec.withColumn("open", F.col("target") - F.col("whole") * F.col("source_size"))
     spec = cut_lineage(spec.withColumn("rate", F.try_divide(F.col("open"), F.col("source_size"))), "mix-targets")
-    # the bin in which the sample ends, then the chunks of that bin alone in Pareto order
-    bins = sized.groupBy("spec", "bin").agg(F.sum("size").alias("bin_size"))
-    upto = Window.partitionBy("spec").orderBy("bin")
-    ends = (
-        bins.withColumn("upto", F.sum("bin_size").over(upto))
-        .join(spec.select(F.col("spec").alias("s"), "open", "rate"), F.col("spec").eqNullSafe(F.col("s")))
-        .where((F.col("open") > 0) & (F.col("upto") >= F.col("open")))
-        .groupBy("spec", "open", "rate")
-        .agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("e"))
-        .select(F.col("spec").alias("s"), F.col("e.bin").alias("last_bin"), F.col("e.before").alias("before"), "open", "rate")
-    )
-    ends = cut_lineage(ends, "mix-ends")
+    # the coarse bin in which the sample ends, the fine bin inside it, then the chunks of that bin alone in Pareto order
+    goals = spec.where(F.col("open") > 0).select(F.col("spec").alias("s"), "open", "rate", F.lit(0).cast("long").alias("before"))
+    coarse = _end(sized.withColumn("at", _bin(F.col("u"), COARSE)), goals)
+    inner = sized.join(coarse, F.col("spec").eqNullSafe(F.col("s")) & (_bin(F.col("u"), COARSE) == F.col("last_bin"))).select(*sized.columns)
+    ends = _end(inner.withColumn("at", F.col("bin")), coarse.drop("last_bin"))
     order = Window.partitionBy("s").orderBy("odds", "id", "size")  # peers share a running sum
     inside = (
         sized.join(ends, F.col("spec").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("last_bin")))
@@ -93,13 +86,22 @@ def _plan(sized: DataFrame, weights: Sequence[float], share: float, most: float)
     return cut_lineage(plan, "mix-plan")
 
 
+def _end(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """Per spec the bin ``at`` in which the running size reaches what is open: s, last_bin, before (the size before that bin), open, rate."""
+    bins = rows.groupBy("spec", "at").agg(F.sum("size").alias("bin_size"))
+    upto = F.col("before") + F.sum("bin_size").over(Window.partitionBy("spec").orderBy("at"))
+    reached = bins.join(goals, F.col("spec").eqNullSafe(F.col("s"))).withColumn("upto", upto).where(F.col("upto") >= F.col("open"))
+    first = reached.groupBy("s", "open", "rate").agg(F.min(F.struct("at", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("e"))
+    return cut_lineage(first.select("s", F.col("e.at").alias("last_bin"), F.col("e.before").alias("before"), "open", "rate"), "mix-ends")
+
+
 def _odds(u: Column, rate: Column) -> Column:
     """Pareto order statistic: random odds over inclusion odds."""
     return F.try_divide(u / (1 - u), F.try_divide(rate, 1 - rate))
 
 
-def _bin(u: Column) -> Column:
-    return F.floor(u * BINS).cast("int")
+def _bin(u: Column, bins: int = BINS) -> Column:
+    return F.floor(u * bins).cast("int")
 
 
 def mix_chunks(
@@ -121,8 +123,8 @@ def mix_chunks(
     size 0. Rows alike in id and size enter together. Chunks without an id are
     taken together as well. No rows in, no rows out.
 
-    The rank needs no sort of a spec: sums per bin of the random number find the
-    bin in which the sample ends, and only that bin is ordered. What remains is
+    The rank needs no sort of a spec: sums per coarse, then per fine bin of the random
+    number find the bin in which the sample ends, and only that bin is ordered. What remains is
     one row per spec, which Spark broadcasts if it is small enough and joins
     otherwise.
     """
