@@ -466,7 +466,7 @@ def detect_sequences(scored: DataFrame, z_score: float = 2.0, min_windows: int =
 
 def sequence_anomalies(flagged: DataFrame, counters: DataFrame) -> DataFrame:
     """Flagged windows in the common procedure-anomaly shape."""
-    info = counters.select("procedure", "failure_causes")
+    info = counters.groupBy("procedure").agg(F.max_by("failure_causes", "attempts").alias("failure_causes"))  # one row a procedure, however many cells
     j = flagged.join(info, "procedure", "left")
     default = "Review message sequence in context; check for unexpected procedure order."
     rec = F
@@ -481,24 +481,24 @@ def sequence_anomalies(flagged: DataFrame, counters: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- merge
 
-def merge(anomalies: DataFrame, detector_order: Sequence[str] = PROC_DETECTOR_NAMES) -> DataFrame:
-    """One row per (procedure, type): the most severe finding, the first on ties, and who agreed.
+def merge(anomalies: DataFrame, detector_order: Sequence[str] = PROC_DETECTOR_NAMES, scope: Sequence[str] = ()) -> DataFrame:
+    """One row per (procedure, type), and per ``scope`` such as a cell or hour: the most severe finding, the first on ties, and who agreed.
 
     Each detector is reduced to one row first, so the name list is bounded.
     """
     place = F.array_position(F.array(*[F.lit(d) for d in detector_order]), F.col("detector"))
     rank = severity_rank()
-    keep = ["severity", "score", "evidence", "layer", "cell_id", "failure_causes", "recommendation"]
+    keep = [c for c in ("severity", "score", "evidence", "layer", "cell_id", "failure_causes", "recommendation") if c not in scope]
     row = F.struct(*keep)
-    per = anomalies.withColumns({"_place": place, "_rank": rank}).groupBy("procedure", "type", "detector", "_place").agg(
+    per = anomalies.withColumns({"_place": place, "_rank": rank}).groupBy(*scope, "procedure", "type", "detector", "_place").agg(
         F.max_by(row, F.struct("_rank", "score")).alias("r"), F.max("_rank").alias("_rank")
     )
-    best = per.groupBy("procedure", "type").agg(
+    best = per.groupBy(*scope, "procedure", "type").agg(
         F.max_by("r", F.struct("_rank", -F.col("_place"))).alias("r"),
         F.sort_array(F.collect_list(F.struct("_place", "detector"))).alias("d"),
     )
     names = F.transform("d", lambda e: e["detector"])
-    out = best.select("procedure", "type", "r.*", names.alias("detectors"))
+    out = best.select(*scope, "procedure", "type", "r.*", names.alias("detectors"))
     return out.withColumns(
         {"detector": F.array_join("detectors", " + "), "confirmed_by": F.size("detectors")}
     ).orderBy(severity_rank().desc(), F.col("score").desc())

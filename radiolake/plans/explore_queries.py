@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from radiolake.catalogue import kpi as K
@@ -12,6 +14,7 @@ from radiolake.operators import kpi_detectors as D
 from radiolake.operators import normalise as N
 from radiolake.plans.bindings import ANOMALIES_CTE, SEV, COUNTERS_CTE, COUNTERS_LONG_CTE, DIM_CTE, HOURLY_CTE, KPI_CTE, KPI_LIST, Tables
 from radiolake.plans.registry import query, r
+from radiolake.session import fresh_path
 from radiolake.sources import readers, writers
 
 PRB = "PRB_Utilization_DL_%"
@@ -40,31 +43,35 @@ def src2(t: Tables):
 @query("src4", """SELECT event_type AS Protocol, count(*) AS packets, sum(length(props))::BIGINT AS bytes,
  count(DISTINCT user_id) AS sources FROM events GROUP BY ALL""")
 def src4(t: Tables):
-    packets = t.events.select(
-        F.col("event_id").alias("packet_no"), F.col("user_id").cast("string").alias("Source"),
-        F.col("event_type").alias("Protocol"), F.length("props").alias("Length"),
-    )
-    return packets.groupBy("Protocol").agg(
-        F.count(F.lit(1)).alias("packets"), F.sum("Length").alias("bytes"), F.count_distinct("Source").alias("sources")
+    """Events exported as a packet list, read back by the reader."""
+    path = fresh_path(t.spark, "packet-list")
+    t.events.select(
+        F.col("event_id").alias("No."), F.unix_micros("ts").cast("double").alias("Time"), F.col("user_id").cast("string").alias("Source"),
+        F.lit("10.0.0.1").alias("Destination"), F.col("event_type").alias("Protocol"), F.length("props").alias("Length"), F.col("props").alias("Info"),
+    ).write.option("header", True).csv(path)
+    return readers.read_packet_list(t.spark, path).groupBy("Protocol").agg(
+        F.count("packet_no").alias("packets"), F.sum("Length").alias("bytes"), F.count_distinct("Source").alias("sources")
     )
 
 
-@query("src6", """SELECT 'events' AS name, 'stats' AS route, count(*) AS n FROM events UNION ALL
- SELECT 'kpi', 'kpi', count(*) FROM events UNION ALL SELECT 'srsran', 'stats', count(*) FROM lineitem UNION ALL
- SELECT 'payload', 'pcap', count(*) FROM events""")
+ROUTES = {"events": "stats", "kpi": "kpi", "payload": "pcap", "forced": "pcap", "workbook": "kpi", "capture": "pcap", "unknown": "stats"}
+
+
+@query("src6", " UNION ALL ".join(f"SELECT '{n}' AS name, '{k}' AS route, count(*) AS n FROM events" for n, k in ROUTES.items())
+       + " UNION ALL SELECT 'srsran', 'stats', count(*) FROM lineitem")
 def src6(t: Tables):
-    wide = t.kpi_hourly
-    cases = [
-        ("events", readers.route(t.events.columns, "x.parquet"), t.events),
-        ("kpi", readers.route(wide.columns, "x.csv"), t.events),
-        ("srsran", readers.route(["pci", "dl_nof_ok", "dl_nof_nok"]), t.table("lineitem")),
-        ("payload", readers.route(["ts", "seq", "payload"]), t.events),
-    ]
-    out = None
-    for name, route, df in cases:
-        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), F.lit(route).alias("route"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    wide = t.kpi_hourly.columns
+    cases = {
+        "events": readers.route(t.events.columns, "x.parquet"), "kpi": readers.route(wide, "x.csv"), "payload": readers.route(["ts", "seq", "payload"]),
+        "forced": readers.route(wide, "x.csv", forced="pcap"), "workbook": readers.route(["foo"], "x.XLSX"), "capture": readers.route(["foo"], "x.pcapng"),
+        "unknown": readers.route(["foo", "bar"]),
+    }
+
+    def rows(df, found):
+        named = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("route")) for n, k in found.items()])
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.explode(named).alias("c"), "n").select("c.name", "c.route", "n")
+
+    return rows(t.events, cases).unionByName(rows(t.table("lineitem"), {"srsran": readers.route(["pci", "dl_nof_ok", "dl_nof_nok"])}))
 
 
 @query("snk1", """SELECT doc_id AS feedback_id, substr(text, 1, 200) AS evidence FROM documents JOIN labels USING (doc_id)""")
@@ -124,9 +131,13 @@ def nrm4(t: Tables):
 @query("nrm5", """SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'srsran' WHEN l_suppkey % 4 = 1 THEN 'oai' WHEN l_suppkey % 4 = 2 THEN 'nist'
  ELSE 'generic' END AS shape, count(*) AS n FROM lineitem GROUP BY ALL""")
 def nrm5(t: Tables):
-    shapes = [N.detect_shape(c) for c in (["PCI", "dl_prb"], ["SNR", "cell_id"], ["RSRP_dBm"], ["foo", "bar"])]
-    pick = F.get(F.array(*[F.lit(s) for s in shapes]), (F.col("l_suppkey") % 4).cast("int"))
-    return t.table("lineitem").groupBy(pick.alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    """A quarter of the rows under the column names of each vendor; the shape is found from the frame itself."""
+    names = [("PCI", "dl_prb"), ("cell_id", "SNR"), ("Cell", "RSRP_dBm"), ("foo", "bar")]
+    out = []
+    for n, (cell, value) in enumerate(names):
+        frame = t.table("lineitem").where(F.col("l_suppkey") % 4 == n).select(F.col("l_suppkey").alias(cell), F.col("l_quantity").alias(value))
+        out.append(frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(N.detect_shape(frame.columns)).alias("shape"), "n"))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @query("nrm6", f"""WITH m AS (SELECT max(l_quantity) AS top FROM lineitem) SELECT 'PCI_' || (l_suppkey % 16) AS cell_id, l_shipdate AS ts,
