@@ -11,9 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiolake.llm.common import free_name, in_portions
+from radiolake.llm.common import in_portions
 from radiolake.llm.points import normalised
-from radiolake.session import cut_lineage
 
 Q = 8  # a power of two
 RATE = 0.1
@@ -234,9 +233,22 @@ def _search(shared, id_type):
     return run
 
 
-def without_leaks(chunks: DataFrame, scenarios: DataFrame, chunk_id: str = "chunk_id", text: str = "text", **names: str) -> DataFrame:
-    """The chunks that contain no scenario. Chunks without an id are judged together: one leak among them drops them all."""
-    leaks = scenario_leaks(chunks, scenarios, chunk_id, text, **names)
-    name = free_name(chunks, "_leak")
-    bad = cut_lineage(leaks.select(F.col("chunk_id").alias(name)).distinct(), "leaks")
-    return chunks.join(bad, chunks[chunk_id].eqNullSafe(F.col(name)), "left_anti")
+def without_leaks(chunks: DataFrame, scenarios: DataFrame, text: str = "text", scenario_id: str = "scenario_id", description: str = "description") -> DataFrame:
+    """The rows, with all their columns, whose text contains no scenario; each row is judged by itself, so ids do not matter."""
+    out = chunks
+    for _, texts in _blocks(scenarios, scenario_id, description):
+        out = out.mapInArrow(_clean(chunks.sparkSession.sparkContext.broadcast(texts), text), chunks.schema)
+    return out
+
+
+def _clean(shared, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index.over(shared.value)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for part in in_portions(((n, t or "") for n, t in enumerate(batch.column(text).to_pylist())), PORTION):
+                for d, *_ in leaks_in([t for _, t in part], index):
+                    keep[part[d][0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run

@@ -214,10 +214,11 @@ def near_duplicates(
 def one_of_each(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
     """The chunks with the smallest id of their class; rows repeated under that id stay once.
 
-    Chunks without an id stay only where their class has no chunk with one.
+    Chunks without an id cannot be named, so they stay and name no class.
     """
-    classes = near_duplicates(chunks.select(chunk_id, text), chunk_id, text, words, budget)
+    named = chunks.where(chunks[chunk_id].isNotNull())
     name = free_name(chunks, "_stay")
-    stay = classes.where(F.col("chunk_id").eqNullSafe(F.col("component_id"))).select(F.col("chunk_id").alias(name)).distinct()
-    rows = chunks.join(stay, chunks[chunk_id].eqNullSafe(F.col(name))).select(*[chunks[c] for c in chunks.columns])
-    return rows.dropDuplicates([chunk_id])
+    classes = near_duplicates(named.select(chunk_id, text), chunk_id, text, words, budget)
+    stay = classes.where(F.col("chunk_id") == F.col("component_id")).select(F.col("chunk_id").alias(name)).distinct()
+    rows = named.join(stay, named[chunk_id] == F.col(name)).select(*[named[c] for c in chunks.columns])
+    return rows.dropDuplicates([chunk_id]).unionByName(chunks.where(chunks[chunk_id].isNull()))

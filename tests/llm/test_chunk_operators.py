@@ -161,7 +161,7 @@ def test_near_copies_odd_cases(spark):
     out = simhash.near_duplicates(chunks(spark, rows)).collect()
     assert sorted((r.chunk_id or 0, r.component_id or 0) for r in out) == [(0, 0), (0, 9), (3, 3), (4, 3), (9, 9), (9, 9)]
     stay = simhash.one_of_each(chunks(spark, rows))
-    assert sorted(r.chunk_id or 0 for r in stay.collect()) == [0, 3, 9] and stay.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    assert sorted((r.chunk_id or 0, r.text) for r in stay.collect()) == [(0, "alone"), (0, "one two"), (3, ""), (9, "one two")] and stay.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     assert simhash.near_duplicates(chunks(spark, [])).count() == 0
 
 
@@ -221,7 +221,8 @@ def test_leaks_are_found_in_place(spark):
     one = next(r for r in found if r.chunk_id == 1)
     assert text[one.begins : one.ends] == item.upper().replace(" ", "\n").rstrip(".")
     left = decontaminate.without_leaks(chunks(spark, rows), scenarios(spark, [(7, item)]))
-    assert sorted(r.chunk_id for r in left.collect()) == [3, 4, 5]
+    assert sorted(r.chunk_id for r in left.collect()) == [3, 4, 5] and left.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    assert decontaminate.without_leaks(chunks(spark, rows), scenarios(spark, [])).count() == len(rows)
     assert decontaminate.scenario_leaks(chunks(spark, rows), scenarios(spark, [])).count() == 0
     assert decontaminate.scenario_leaks(chunks(spark, []), scenarios(spark, [(7, item)])).count() == 0
 
