@@ -285,7 +285,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 slots, gone = _slots(shape, wrapper, known), set(constant)
                 blocks = [(n, t) for n, t in blocks if _entry(slots[place[n]], xxhash.xxh64_intdigest(t) - (1 << 63)) not in gone]
             inner = [t for n, t in blocks if page.main[n]]
-            out.append(" ".join(inner or [t for _, t in blocks]))
+            outer = sum(len(t) for n, t in blocks if not page.main[n])
+            # an article is the text only if the content outside it is not the larger part: else it is a teaser
+            out.append(" ".join(inner if sum(map(len, inner)) >= outer else [t for _, t in blocks]))
         yield pa.RecordBatch.from_arrays([batch.column("report_id"), batch.column("url"), pa.array(out, pa.string())], ["report_id", "url", "text"])
 
 
@@ -322,8 +324,8 @@ def report_text(reports: DataFrame, report_id: str = "report_id", url: str = "ur
     one. Pages of a host are aligned with the host's wrapper by simple tree matching; slots whose text is
     the same on nearly all its pages are template, the others content. Menus, headers,
     footers, side bars, notices, adverts, forms, scripts and remarks are left out by element
-    name and by words in class, id and role. If the page has an article or main element, its
-    content alone is the text. Character references are decoded, white space in
+    name and by words in class, id and role. If an article or main element has at
+    least half of the content left then, its content alone is the text; else all content is. Character references are decoded, white space in
     a block becomes one space, blocks are joined by one space in page order.
 
     A null page is an empty one; the text is empty if nothing is left. A null or

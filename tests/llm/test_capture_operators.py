@@ -84,6 +84,19 @@ def test_copies_make_nothing_constant(spark):
     assert out == {"Network report service Cell PRB drop & more"}
 
 
+def test_teaser_article_is_not_the_text(spark):
+    page = (
+        "<html><body><div class=top>Network report service, all regions, all cells, all counters of the week</div><div id=content><h2>Cell {0}</h2>"
+        "<p>PRB use rose to {0} percent after the swap of sector {0}</p></div><article><p>See {0}</p></article></body></html>"
+    )
+    rows = [(k, f"http://teaser.example/{k}", page.format(k)) for k in range(12)]
+    framed = "<html><body><div>Network report service, all regions, all cells, all counters</div><article><p>Cell {0} is up</p></article></body></html>"
+    rows += [(100 + k, f"http://framed.example/{k}", framed.format(k)) for k in range(12)]
+    out = {r.report_id: r.text for r in report_text.report_text(reports(spark, rows)).collect()}
+    want = {k: f"Cell {k} PRB use rose to {k} percent after the swap of sector {k} See {k}" for k in range(12)}
+    assert out == want | {100 + k: f"Cell {k} is up" for k in range(12)}  # the long line outside is template there
+
+
 def test_pages_odd_cases(spark):
     article = "<p>menu</p><article><header><h1>A&#233; <b>b</b>c</h1></header><p>x<br>y<script>if (a < b) '</p>'</script> z<aside>not</aside><p>end</article><p>tail"
     rows = [
