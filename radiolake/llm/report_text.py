@@ -264,13 +264,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict = {}
     for batch in batches:
-        hosts, out = [], []
+        hosts, held, out = [], [], []
         for host, shape, wrapper, places, texts in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "wrapper", "places", "texts"))):
             slots = _slots(shape, wrapper, known)
-            got = {_entry(slots[n], t) for n, t in zip(places, texts)}
+            got = {(slots[n] - (1 << 63), _entry(slots[n], t)) for n, t in zip(places, texts)}
+            got |= {(slot, None) for slot, _ in got}  # the page has the slot
             hosts += [host] * len(got)
-            out += got
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.int64())], ["host", "entry"])
+            held += [slot for slot, _ in got]
+            out += [entry for _, entry in got]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(held, pa.int64()), pa.array(out, pa.int64())], ["host", "slot", "entry"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,22 +301,21 @@ def wrappers(rows: DataFrame) -> DataFrame:
     """Per host its wrapper (the shape most of its distinct pages have) and the hashes of its constant slots' texts.
 
     ``rows`` has host and html. A text is constant if ``PAGES`` or more distinct pages of
-    the host, and ``SHARE`` of them, have it in the slot aligned with the same place of the
-    wrapper. Counted over all pages of the host; only hashes are shuffled.
+    the host have it in the slot aligned with the same place of the wrapper, and ``SHARE`` of
+    those that have the slot; places of other layouts are slots of their own. Counted over all pages of the host; only hashes are shuffled.
     """
     sketch = rows.mapInArrow(_sketch, "host string, shape string, page long, places array<int>, texts array<long>")
     sketch = cut_lineage(sketch.dropDuplicates(["host", "shape", "page"]), "page-sketches")
     shapes = sketch.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"))
-    chosen = cut_lineage(
-        shapes.groupBy("host").agg(F.max_by("shape", F.struct("n", "shape")).alias("wrapper"), F.sum("n").alias("pages")), "wrappers"
-    )
-    filled = sketch.join(chosen.select("host", "wrapper"), "host").mapInArrow(_filled, "host string, entry long")
-    counts = filled.groupBy("host", "entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
+    chosen = cut_lineage(shapes.groupBy("host").agg(F.max_by("shape", F.struct("n", "shape")).alias("wrapper")), "wrappers")
+    filled = sketch.join(chosen, "host").mapInArrow(_filled, "host string, slot long, entry long")
+    counts = cut_lineage(filled.groupBy("host", "slot", "entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES), "slot-counts")
+    having = counts.where(F.col("entry").isNull()).select("host", "slot", F.col("n").alias("pages"))
     constant = (
-        counts.join(chosen.select("host", "pages"), "host").where(F.col("n") >= SHARE * F.col("pages"))
+        counts.where(F.col("entry").isNotNull()).join(having, ["host", "slot"]).where(F.col("n") >= SHARE * F.col("pages"))
         .groupBy("host").agg(F.collect_set("entry").alias("constant"))
     )
-    return cut_lineage(chosen.select("host", "wrapper").join(constant, "host"), "constant-slots")
+    return cut_lineage(chosen.join(constant, "host"), "constant-slots")
 
 
 def report_text(reports: DataFrame, report_id: str = "report_id", url: str = "url", html: str = "html") -> DataFrame:

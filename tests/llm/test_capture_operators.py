@@ -97,6 +97,14 @@ def test_teaser_article_is_not_the_text(spark):
     assert out == want | {100 + k: f"Cell {k} is up" for k in range(12)}  # the long line outside is template there
 
 
+def test_template_of_each_layout_of_a_host(spark):
+    one = "<html><body><div class=top>All regions</div><div class=main><p>Cell {0} report</p></div><div class=legal>Terms of use</div></body></html>"
+    two = "<html><body><section class=lead>Weekly view</section><section class=body><h2>Site {0}</h2><p>Load of {0}</p></section><section class=end>Terms</section></body></html>"
+    rows = [(k, f"http://two.example/{k}", (one if k % 2 else two).format(k)) for k in range(24)]
+    out = {r.report_id: r.text for r in report_text.report_text(reports(spark, rows)).collect()}
+    assert out == {k: f"Cell {k} report" if k % 2 else f"Site {k} Load of {k}" for k in range(24)}
+
+
 def test_pages_odd_cases(spark):
     article = "<p>menu</p><article><header><h1>A&#233; <b>b</b>c</h1></header><p>x<br>y<script>if (a < b) '</p>'</script> z<aside>not</aside><p>end</article><p>tail"
     rows = [
