@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiolake.llm import archive, decontaminate, impact_search, language, licences, line_dedup, mixing, report_text, simhash, toxicity
+from radiolake.llm import archive, decontaminate, impact_search, language, licences, line_dedup, manifest, mixing, report_text, simhash, toxicity, url_filters, whitening
 from radiolake.llm.sql import SQL  # noqa: F401
 from radiolake.session import cut_lineage
 
@@ -112,3 +112,36 @@ def op7_html_extraction(spark, sf_dir):
 def op3_license_scan(spark, sf_dir):
     out = licences.scan_licences(chunks_of(table(spark, sf_dir, "documents")), licences.fit_licences())
     return out.withColumnRenamed("chunk_id", "doc_id")
+
+
+#: Fixed rules (host, path, verdict).
+URL_RULES = "VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS rules(host, path, verdict)"
+
+
+@query
+def op11_url_filters(spark, sf_dir):
+    out = url_filters.judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {URL_RULES}"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def records_of(docs: DataFrame) -> DataFrame:
+    """Documents seen as feedback records: language as source, source as detector, text as evidence, length as score."""
+    return docs.select(
+        docs.doc_id.alias("feedback_id"), docs.source.alias("detector"), docs.lang.alias("source"), docs.n_chars.alias("score"),
+        docs.text.alias("evidence"),
+    )
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    records = records_of(table(spark, sf_dir, "documents"))
+    tampered = F.when(id_fold(records.feedback_id, 7) == 0, records.score + 1).otherwise(records.score)
+    fields = ["feedback_id", "detector", "source", "score", "evidence"]
+    out = manifest.feedback_manifest(records, fields, claimed={"score": tampered})
+    return out.withColumnRenamed("feedback_id", "doc_id")
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten_chunks(vectors.select(vectors.vec_id.alias("chunk_id"), "embedding")).withColumnRenamed("chunk_id", "vec_id")
