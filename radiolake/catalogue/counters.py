@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from radiolake.functions.columns import fixed_table
+
 # Metric, unit, description, warning, critical
 COUNTERS = [
     ("dl_prb_util", "%", "DL PRB Utilisation", 80.0, 90.0),
@@ -91,7 +93,7 @@ def worse_when_high(desc: str) -> bool:
 
 
 def counter_dim(spark: SparkSession) -> DataFrame:
-    rows = [(m, u, d, w, c, worse_when_high(d)) for m, u, d, w, c in COUNTERS]
-    return spark.createDataFrame(
-        rows, "metric string, unit string, desc string, warning double, critical double, worse_high boolean"
+    rows = tuple((m, u, d, w, c, worse_when_high(d)) for m, u, d, w, c in COUNTERS)
+    return fixed_table(
+        spark, rows, "metric string, unit string, desc string, warning double, critical double, worse_high boolean"
     )

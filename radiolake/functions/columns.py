@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEVERITIES = ("Critical", "High", "Medium", "Low")
@@ -69,3 +69,22 @@ def seconds(ts: Column | str) -> Column:
 def text_or(col: Column | str, fallback: str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c.cast("string"), F.lit(fallback))
+
+
+@lru_cache(maxsize=16)
+def fixed_table(spark: SparkSession, rows: tuple[tuple, ...], schema: str) -> DataFrame:
+    """A catalogue of fixed values as a DataFrame: literals in the plan, no job and no Python rows."""
+
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).upper()
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{v!r}D" if isinstance(v, float) else repr(v)
+
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    casts = ", ".join(f"cast({n} AS {t}) AS {n}" for n, t in fields)
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS fixed({', '.join(n for n, _ in fields)})")

@@ -2,7 +2,7 @@
 
 ``Window.partitionBy(cell)`` sends all rows of a cell to one task; with one cell
 holding a third of the data that task never ends.  Everything here splits a
-series along time into *slices*.  Rows are shuffled by (keys, slice); a slice is
+series into *slices* of a bounded number of rows.  Rows are shuffled by (keys, slice); a slice is
 reduced to one summary row (count, total, last row ...); the summaries of a key,
 one per slice, are combined by a window; and the result is joined back on
 (keys, slice).  Counts, sums, extremes, last values and neighbours all compose
@@ -14,31 +14,18 @@ in blocks of equal length and the last k rows of a block are copied to the next.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiolake.session import cut_lineage
+
 SLICE = "_slice"
 KEY = "_key"  # the key columns as one struct: equal where both sides are null, so rows without a key stay
-DAY = 86_400
 BLOCK = 65_536  # rows
 
 
-def sliced(df: DataFrame, ts: str = "ts", width_s: int = DAY) -> DataFrame:
-    """Add the slice number; choose the width so a slice of the busiest key fits a task.
-
-    Rows without a time share the first slice, as nulls sort first.
-    """
-    number = F.floor(F.unix_micros(ts) / F.lit(width_s * 1_000_000))
-    return df.withColumn(SLICE, F.coalesce(number, F.lit(-(1 << 40))))
-
-
-def sliced_by_number(df: DataFrame, col: str = "seq", width: int = BLOCK) -> DataFrame:
-    """Slices of a running number (file position) instead of time. Rows without a number share the first slice."""
-    return df.withColumn(SLICE, F.coalesce(F.floor(F.col(col) / F.lit(width)), F.lit(-(1 << 40))))
-
-
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn(KEY, F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
 
@@ -63,6 +50,40 @@ def _inside(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
 
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows dealt and sorted by ranges of (keys, order), with ``_at``: the range in the upper bits, the place in it below. Written."""
+    at = [F.col(KEY).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
+    rows = _keyed(df, keys).repartitionByRange(*at).sortWithinPartitions(*at)
+    return _keyed(cut_lineage(rows.drop(KEY).withColumn("_at", F.monotonically_increasing_id()), "dealt"), keys)
+
+
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = BLOCK) -> DataFrame:
+    """Add the slice number: rising along every series, and at most ``rows`` rows (a power of two) of a key in a slice.
+
+    Spark's ranges follow the number of rows, so neither a hot key nor a burst makes a large slice, and neither do rows without
+    a key or a time (nulls come first, in the order of what follows).
+    The table is written to the shared folder, so every later use agrees on the slices.
+    """
+    if rows & (rows - 1):
+        raise ValueError("rows of a slice must be a power of two")
+    return _dealt(df, keys, order).select(*df.columns, F.shiftright("_at", rows.bit_length() - 1).alias(SLICE))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], rn: str = "rn", total: str = "n") -> DataFrame:
+    """Exact 1-based row number and row count per key, with the slices of ``sliced``.
+
+    The place in a range is known when the rows are dealt; what is left is a prefix sum over ranges, one row
+    per (key, range), so no window sees the rows.
+    """
+    rows = _dealt(df, keys, order).withColumn("_range", F.shiftright("_at", 33))
+    sizes = rows.groupBy(KEY, "_range").agg(F.expr("count(1) AS _size"), F.expr("min(_at) AS _first"))
+    base = sizes.selectExpr(
+        KEY, "_range", f"coalesce(sum(_size) OVER (PARTITION BY {KEY} ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - _first + 1 AS _base",
+        f"sum(_size) OVER (PARTITION BY {KEY}) AS `{total}`",
+    )
+    return rows.join(base, [KEY, "_range"]).select(*df.columns, F.shiftright("_at", BLOCK.bit_length() - 1).alias(SLICE), total, F.expr(f"_base + _at AS `{rn}`"))
+
+
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], rn: str = "rn", total: str = "n") -> DataFrame:
     """Exact 1-based row number and row count per key over a sliced frame."""
     columns, df, keys = df.columns, _keyed(df, keys), [KEY]
@@ -182,22 +203,27 @@ def running(
 
 
 def series_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, slice) rows carrying count, mean and population deviation of the whole series.
+    """(KEY, slice) rows carrying count, mean and population deviation of the whole series; KEY is the struct of the keys.
 
     Slice moments are merged by the parallel-variance rule; joining on
-    (keys, slice) keeps a hot key spread over its slices.
+    (KEY, slice) keeps a hot key spread over its slices and rows without a key in the table.
     """
-    at = [*keys, SLICE]
-    per = df.groupBy(*at).agg(
+    at = [KEY, SLICE]
+    per = _keyed(df, keys).groupBy(*at).agg(
         F.count(value).alias("_k"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v")
     )
-    w = _all(keys)
+    w = _all([KEY])
     mu = F.sum(F.col("_k") * F.col("_m")).over(w) / F.nullif(F.sum("_k").over(w), F.lit(0))
     per = per.select(*at, "_k", "_m", "_v", F.sum("_k").over(w).alias("_n"), mu.alias("_mu"))
     dev = F.col("_k") * (F.col("_v") + F.pow(F.col("_m") - F.col("_mu"), F.lit(2.0)))
     return per.select(*at, "_n", "_mu", F.sqrt(F.sum(dev).over(w) / F.nullif(F.col("_n"), F.lit(0))).alias("_sigma"))
 
 
+def with_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows of a sliced frame with ``_mu`` and ``_sigma`` of their series."""
+    return _keyed(df, keys).join(series_moments(df, keys, value), [KEY, SLICE]).select(*df.columns, "_mu", "_sigma")
+
+
 def blocked(
     df: DataFrame,
     keys: Sequence[str],
@@ -228,80 +254,70 @@ def blocked(
     return out, w, F.col("_block") == own
 
 
-def exact_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    bins: int = 64,
-) -> DataFrame:
-    """Exact linear-interpolated percentiles without gathering a group anywhere.
+# ---------------------------------------------------------------- percentiles by radix selection
+
+DIGIT, NEXT = 22, 21  # bits of the leading digit, and of the two that follow
+_FLIP = str((1 << 63) - 1)
+_TO_BITS = "cast(reflect('java.lang.Double', 'doubleToLongBits', cast({0} as double) + 0.0D) as bigint)"
+
+
+def order_bits(value: str) -> Column:
+    """A double column as a long of the same order (the two zeros are one); NaN is above all numbers."""
+    bits = _TO_BITS.format(value)
+    return F.expr(f"if({bits} < 0, {bits} ^ {_FLIP}, {bits})")
+
+
+def of_order_bits(bits: str) -> Column:
+    """The double that ``order_bits`` was made of."""
+    return F.expr(f"cast(reflect('java.lang.Double', 'longBitsToDouble', if({bits} < 0, {bits} ^ {_FLIP}, {bits})) as double)")
 
-    Equal values are counted first.  A mergeable sketch gives up to ``bins``
-    cut points per key; exact counts per bin locate the wanted ranks, and only
-    the bins holding a wanted rank are ordered.  The sketch decides bin sizes,
-    never the answer.  Output: keys, ``n`` and one column ``p0, p1 ...`` per prob.
+
+def _narrowed(counts: DataFrame, group: str) -> DataFrame:
+    """The digits that hold a wanted rank, each with its targets (which one, rank within the digit).
+
+    The window orders digits, at most 2**DIGIT a group, never values.
     """
-    df, ks = _keyed(df, keys), [KEY]
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*ks, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    cuts = counts.groupBy(*ks).agg(
-        F.array_distinct(
-            F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10_000)
-        ).alias("_cuts")
-    )
-    binned = counts.join(cuts, ks).withColumn(
-        "_bin", F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + F.when(c < F.col("_v"), 1).otherwise(0))
-    ).drop("_cuts")
-    wk = Window.partitionBy(*ks)
-    sizes = binned.groupBy(*ks, "_bin").agg(F.sum("_c").alias("_size"))
-    placed = sizes.select(
-        *ks,
-        "_bin",
-        (F.sum("_size").over(wk.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias(
-            "_base"
-        ),
-        F.col("_size"),
-        F.sum("_size").over(wk).alias("n"),
-    )
-    targets = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at"))
-            for i, p in enumerate(probs)
-        ]
-    )
-    lo, hi = F.floor(F.col("t.at")), F.ceil(F.col("t.at"))
-    end = F.col("_base") + F.col("_size")
-    holds = ((lo >= F.col("_base")) & (lo < end)) | ((hi >= F.col("_base")) & (hi < end))
-    wanted = (
-        placed.withColumn("t", F.explode(targets))
-        .where(holds)
-        .groupBy(*ks, "_bin", "_base", "n")
-        .agg(F.collect_list("t").alias("_t"))
-    )
-    w_in = Window.partitionBy(*ks, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        binned.join(wanted, [*ks, "_bin"])
-        .withColumn("_end", F.col("_base") + F.sum("_c").over(w_in))
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-        .withColumn("t", F.explode("_t"))
-    )
-    cols = []
-    for i, _ in enumerate(probs):
-        mine = F.col("t.i") == i
-        at_lo = mine & (lo >= F.col("_start")) & (lo < F.col("_end"))
-        at_hi = mine & (hi >= F.col("_start")) & (hi < F.col("_end"))
-        cols += [
-            F.max(F.when(at_lo, F.col("_v"))).alias(f"_lo{i}"),
-            F.max(F.when(at_hi, F.col("_v"))).alias(f"_hi{i}"),
-        ]
-    picked = ranked.groupBy(*ks, "n").agg(*cols)
-    outs = []
-    for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("n") - 1)
-        frac = at - F.floor(at)
-        outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).alias(f"p{i}"))
-    return picked.select(*[F.col(f"{KEY}.`{k}`").alias(k) for k in keys], "n", *outs)
+    w = f"(PARTITION BY {group} ORDER BY _next ROWS UNBOUNDED PRECEDING)"
+    placed = counts.selectExpr("*", f"sum(_c) OVER {w} AS _to")
+    inside = "transform(filter(_targets, t -> t.rank >= _to - _c AND t.rank < _to), t -> struct(t.i AS i, t.rank - (_to - _c) AS rank))"
+    return placed.selectExpr(KEY, "_next AS _prefix", "n", f"{inside} AS _targets").where("size(_targets) > 0")
+
+
+def percentiles_of_digits(counts: DataFrame, values_in: Callable[[DataFrame], DataFrame], keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Percentiles from first-digit counts; see ``exact_percentiles``.
+
+    ``counts`` is (KEY, _next, _c), how many values of a key have that leading digit. ``values_in`` is given (KEY,
+    _prefix), the wanted digits, and returns (KEY, _prefix, _bits, _c), the values there with their counts.
+    """
+    sized = counts.selectExpr("*", f"sum(_c) OVER (PARTITION BY {KEY}) AS n")
+    ends = [f"{end}({float(p)!r}D * (n - 1))" for p in probs for end in ("floor", "ceil")]
+    targets = ", ".join(f"struct({i} AS i, cast({e} AS bigint) AS rank)" for i, e in enumerate(ends))
+    wanted = _narrowed(sized.selectExpr("*", f"array({targets}) AS _targets"), KEY)
+    values = values_in(wanted.select(KEY, "_prefix")).groupBy(KEY, "_prefix", "_bits").agg(F.expr("sum(_c) AS _c"))
+    for shift in (NEXT, 0):
+        met = values.selectExpr("*", f"shiftright(_bits, {shift + NEXT}) AS _up").join(wanted.withColumnRenamed("_prefix", "_up"), [KEY, "_up"])
+        digits = met.selectExpr(KEY, "_up", f"shiftright(_bits, {shift}) AS _next", "_c", "n", "_targets").groupBy(KEY, "_up", "_next")
+        wanted = _narrowed(digits.agg(F.expr("sum(_c) AS _c"), F.expr("first(n) AS n"), F.expr("first(_targets) AS _targets")), f"{KEY}, _up")
+    found = wanted.select(KEY, "n", of_order_bits("_prefix").alias("_v"), F.expr("explode(_targets) AS t"))
+    picked = found.groupBy(KEY, "n").agg(*[F.expr(f"max(if(t.i = {i}, _v, null)) AS _e{i}") for i in range(len(ends))])
+    between = [f"_e{2 * i} + (_e{2 * i + 1} - _e{2 * i}) * ({float(p)!r}D * (n - 1) - {ends[2 * i]}) AS p{i}" for i, p in enumerate(probs)]
+    return picked.selectExpr(*[f"{KEY}.`{k}` AS `{k}`" for k in keys], "n", *between)
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated percentiles, any number of them in one go, without ordering or gathering a group.
+
+    Radix selection: a double is seen as a long of the same order. Its leading 22 bits are counted
+    per key, which finds the digit that holds each wanted rank; a second pass keeps the values with such a digit,
+    equal ones counted together; two more digits of those values leave one value for each rank.
+    Counts are combined on the map side, so nothing grows with a hot key. Output: keys, ``n`` and one column ``p0, p1 ...`` per prob;
+    nulls do not count, and a key without values has no row.
+    """
+    rows = _keyed(df, keys).where(f"`{value}` IS NOT NULL").select(KEY, order_bits(f"`{value}`").alias("_bits"))
+    rows = rows.selectExpr(KEY, f"shiftright(_bits, {64 - DIGIT}) AS _next", "_bits")
+    counts = rows.groupBy(KEY, "_next").agg(F.expr("count(1) AS _c"))
+
+    def values_in(wanted: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("_next", "_prefix").join(wanted, [KEY, "_prefix"]).selectExpr(KEY, "_prefix", "_bits", "1L AS _c")
+
+    return percentiles_of_digits(counts, values_in, keys, probs)

@@ -17,11 +17,10 @@ BASELINE_ROWS, BASELINE_MIN = 60, 5
 
 
 def forward_fill(
-    df: DataFrame, metrics: Sequence[str], keys=("cell_id",), order=("seq",), width: int = O.BLOCK
+    df: DataFrame, metrics: Sequence[str], keys=("cell_id",), order=("seq",), rows: int = O.BLOCK
 ) -> DataFrame:
     """Last known value per cell in file order (``seq``); leading gaps stay null."""
-    work = O.sliced_by_number(df, "seq", width)
-    filled = O.running(work, keys, order, {f"_f_{m}": ("last", F.col(m)) for m in metrics})
+    filled = O.running(O.sliced(df, keys, order, rows), keys, order, {f"_f_{m}": ("last", F.col(m)) for m in metrics})
     return filled.select(*[F.col(f"_f_{c}").alias(c) if c in metrics else F.col(c) for c in df.columns])
 
 
@@ -30,13 +29,11 @@ def rolling_baseline(
     metrics: Sequence[str] | None = None,
     keys=("cell_id",),
     order=("ts", "seq"),
-    width_s: int = O.DAY,
     block: int = O.BLOCK,
 ) -> DataFrame:
     """Mean of the last 60 rows (5 known values at least) and the distance to it, rounded to 3 digits."""
     metrics = [m for m in (metrics or C.DELTA_METRICS) if m in df.columns]
-    numbered = O.ordinal(O.sliced(df, "ts", width_s), keys, order)
-    rows, w, own = O.blocked(numbered, keys, before=BASELINE_ROWS - 1, block=block)
+    rows, w, own = O.blocked(O.numbered(df, keys, order), keys, before=BASELINE_ROWS - 1, block=block)
     frame = w.rowsBetween(-(BASELINE_ROWS - 1), 0)
     deltas = {}
     for m in metrics:
@@ -107,17 +104,18 @@ def capacity_share(facts: DataFrame, capacities: DataFrame | None = None) -> Dat
     )
 
 
-def interval_by_cell(df: DataFrame, width_s: int = O.DAY) -> DataFrame:
+def interval_by_cell(df: DataFrame) -> DataFrame:
     """Median step between consecutive timestamps per cell, in seconds."""
-    rows = O.sliced(df.where(F.col("ts").isNotNull()), "ts", width_s)
-    steps = O.neighbours(rows, ["cell_id"], ["ts", "seq"], prev={"_before": "ts"})
+    keys, order = ["cell_id"], ["ts", "seq"]
+    rows = O.sliced(df.where(F.col("ts").isNotNull()).select(*keys, *order), keys, order)
+    steps = O.neighbours(rows, keys, order, prev={"_before": "ts"})
     gaps = steps.select("cell_id", (seconds("ts") - seconds("_before")).alias("gap_s"))
     return O.exact_percentiles(gaps, ["cell_id"], "gap_s", [0.5]).select("cell_id", F.col("p0").alias("median_s"))
 
 
-def sampling_interval(df: DataFrame, width_s: int = O.DAY) -> DataFrame:
+def sampling_interval(df: DataFrame) -> DataFrame:
     """Median over cells of the per-cell median step (one row; one number per cell enters it)."""
-    return interval_by_cell(df, width_s).agg(F.percentile("median_s", F.lit(0.5)).alias("freq_s"))
+    return interval_by_cell(df).agg(F.percentile("median_s", F.lit(0.5)).alias("freq_s"))
 
 
 # Ordered (substring, plain text) rules for anomaly types, and layer names.

@@ -20,7 +20,7 @@ NOT_A_CELL = ["", "?", "Fleet-wide", "—", "nan"]
 
 def rolling_backtest(series: DataFrame, freq: DataFrame | None = None, horizon_h: float = 4.0, n_origins: int = 8,
                      step_h: float = 1.0, min_train: int = 24, smoothing: bool = False, digits: int = 4,
-                     width_s: int = O.DAY, block: int = O.BLOCK) -> DataFrame:
+                     block: int = O.BLOCK) -> DataFrame:
     """MAE, RMSE and MAPE per (method, cell, KPI) over sliding origins.
 
     Training sets of later origins contain those of earlier ones, so each row
@@ -28,7 +28,7 @@ def rolling_backtest(series: DataFrame, freq: DataFrame | None = None, horizon_h
     accumulated per series.  Only the few rows inside a test horizon repeat.
     """
     freq = freq if freq is not None else sampling_interval(series)
-    rows = O.ordinal(O.sliced(P.known(series), "ts", width_s), KEYS, ORDER).drop(O.SLICE)
+    rows = O.numbered(P.known(series), KEYS, ORDER).drop(O.SLICE)
     rows = P.with_horizon(rows, freq, horizon_h).withColumn(
         "s", F.greatest(F.lit(1), F.floor(F.lit(step_h * 3600.0) / F.nullif(F.col("freq_s"), F.lit(0).cast("double"))).cast("int"))
     )

@@ -104,7 +104,7 @@ def correlation_key() -> Column:
     return out.otherwise(F.concat(F.lit("proc::"), F.substring(text, 1, 20)))
 
 
-def correlate(events: DataFrame, window_h: float = 1.0, sources: Sequence[str] = SOURCES, width_s: int = O.DAY) -> DataFrame:
+def correlate(events: DataFrame, window_h: float = 1.0, sources: Sequence[str] = SOURCES, rows: int = O.BLOCK) -> DataFrame:
     """Which other sources report the same key within the window; a missing time matches any time.
 
     For each event only the nearest earlier and later time of every source
@@ -118,7 +118,7 @@ def correlate(events: DataFrame, window_h: float = 1.0, sources: Sequence[str] =
         *[F.bool_or(F.col("source") == s).alias(f"_any_{s}") for s in sources],
     )
     at = lambda s: F.when(F.col("source") == s, seconds("ts"))
-    timed = O.sliced(ev.where(F.col("ts").isNotNull()), "ts", width_s)
+    timed = O.sliced(ev.where(F.col("ts").isNotNull()), ["corr_key"], ["ts"], rows)
     timed = O.running(timed, ["corr_key"], ["ts"], {f"_p_{s}": ("max", at(s)) for s in sources}, peers=True)
     timed = O.running(timed, ["corr_key"], ["ts"], {f"_n_{s}": ("min", at(s)) for s in sources}, peers=True, reverse=True)
     timed = timed.drop(O.SLICE).join(flags, "corr_key")

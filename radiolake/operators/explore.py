@@ -105,13 +105,12 @@ def mean_matrix(facts: DataFrame, measures: Sequence[str], by=("cell_id", "gnb_i
     return wide.select(*by, *[rnd(F.col(f"`{m}`"), digits).alias(m) for m in measures])
 
 
-def downsample(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_points: int,
-               width_s: int = O.DAY) -> DataFrame:
+def downsample(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_points: int) -> DataFrame:
     """Keep the rows at index int(i * n / max) for i below max; shorter series stay whole.
 
     The index is kept in floating point so that picks agree with scripts doing the same.
     """
-    rows = O.ordinal(O.sliced(df, "ts", width_s), keys, order)
+    rows = O.numbered(df, keys, order)
     step = F.col("n") / F.lit(float(max_points))
     at = (F.col("rn") - 1).cast("double")
     # the candidate i whose index can land on this row lies within one of at / step

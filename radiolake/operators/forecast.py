@@ -222,11 +222,11 @@ def damped_sum(phi: Column, steps: Column) -> Column:
 
 
 def forecast_smoothing(series: DataFrame, freq: DataFrame | None = None, horizon_h: float = HORIZON_H,
-                       min_rows: int = MIN_ROWS, seasonal_periods: int | None = None, width_s: int = O.DAY,
+                       min_rows: int = MIN_ROWS, seasonal_periods: int | None = None,
                        block: int = O.BLOCK) -> DataFrame:
     """Damped additive trend smoothing with optional additive seasonality; one row per series."""
     freq = freq if freq is not None else sampling_interval(series)
-    rows = O.ordinal(O.sliced(known(series), "ts", width_s), KEYS, ORDER).where(F.col("n") >= min_rows)
+    rows = O.numbered(known(series), KEYS, ORDER).where(F.col("n") >= min_rows)
     value = "value"
     season = None
     if seasonal_periods:
@@ -303,11 +303,9 @@ def predicted_anomalies(forecasts: DataFrame, method: str, horizon_h: float = HO
 # ---------------------------------------------------------------- supervised windows
 
 def supervised_windows(series: DataFrame, lookback: int = 12, horizon: int = 4, train_share: float = 0.8,
-                       width_s: int = O.DAY, block: int = O.BLOCK) -> DataFrame:
+                       block: int = O.BLOCK) -> DataFrame:
     """Standardised (past ``lookback``, next ``horizon``) pairs with a time-ordered split."""
-    rows = O.sliced(known(series), "ts", width_s)
-    stats = O.series_moments(rows, KEYS, "value").select(*KEYS, O.SLICE, "_mu", "_sigma")
-    rows = O.ordinal(rows.join(stats, [*KEYS, O.SLICE]), KEYS, ORDER)
+    rows = O.with_moments(O.numbered(known(series), KEYS, ORDER), KEYS, "value")
     rows = rows.withColumn("z", (F.col("value") - F.col("_mu")) / F.when(F.col("_sigma") > 0, F.col("_sigma")).otherwise(1.0))
     spread, w, own = O.blocked(rows, KEYS, before=lookback - 1, after=horizon, block=block)
     out = spread.withColumns(

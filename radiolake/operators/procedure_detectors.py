@@ -385,7 +385,7 @@ def _ids(col: Column, table: dict[str, int]) -> Column:
     return out.otherwise(0)
 
 
-def encode_sequence(log: DataFrame, keys: Sequence[str] = (), width_s: int = O.DAY) -> DataFrame:
+def encode_sequence(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per message: layer, procedure, role and capped time step, each scaled to [0, 1].
 
     Procedure ids follow first appearance; the id table has one row per name.
@@ -398,7 +398,7 @@ def encode_sequence(log: DataFrame, keys: Sequence[str] = (), width_s: int = O.D
         (F.row_number().over(Window.orderBy("_at", "procedure")) - 1).alias("_pid"),
         F.count(F.lit(1)).over(Window.partitionBy()).alias("_np"),
     )
-    rows = O.neighbours(O.sliced(log, "ts", width_s), keys, order, prev={"_before": "ts"})
+    rows = O.neighbours(O.sliced(log, keys, order), keys, order, prev={"_before": "ts"})
     gap = (F.unix_micros("ts") - F.unix_micros(F.coalesce("_before", "ts"))) / 1e6
     return rows.join(F.broadcast(vocab), "procedure").withColumns(
         {
@@ -410,10 +410,10 @@ def encode_sequence(log: DataFrame, keys: Sequence[str] = (), width_s: int = O.D
     ).drop("_before", "_pid", "_np")
 
 
-def sequence_windows(log: DataFrame, keys: Sequence[str] = (), window: int = WINDOW, width_s: int = O.DAY, block: int = O.BLOCK) -> DataFrame:
+def sequence_windows(log: DataFrame, keys: Sequence[str] = (), window: int = WINDOW, block: int = O.BLOCK) -> DataFrame:
     """Sliding windows of encoded messages ending at each message, oldest first."""
     keys = list(keys)
-    enc = O.ordinal(encode_sequence(log, keys, width_s), keys, ["ts", "seq"])
+    enc = O.ordinal(encode_sequence(log, keys), keys, ["ts", "seq"])
     rows, w, own = O.blocked(enc, keys, before=window - 1, block=block)
     frame = w.rowsBetween(-(window - 1), 0)
     vec = F.array("f_layer", "f_proc", "f_role", "f_dt")
@@ -426,15 +426,13 @@ def sequence_windows(log: DataFrame, keys: Sequence[str] = (), window: int = WIN
 
 
 def transition_surprise(rows: DataFrame, keys: Sequence[str], token: Column, order: Sequence[str], window: int = WINDOW,
-                        by_number: str | None = None, width: int = O.DAY, block: int = O.BLOCK) -> DataFrame:
+                        block: int = O.BLOCK) -> DataFrame:
     """Mean surprise (-log p of each transition) over the last ``window`` transitions.
 
     Transition counts are a (state, state) table, tiny beside the log.
     """
     keys = list(keys)
-    work = rows.withColumn("_tok", token)
-    work = O.sliced_by_number(work, by_number, width) if by_number else O.sliced(work, "ts", width)
-    steps = O.neighbours(work, keys, order, prev={"_prev": "_tok"})
+    steps = O.neighbours(O.sliced(rows.withColumn("_tok", token), keys, order), keys, order, prev={"_prev": "_tok"})
     known = steps.where(F.col("_prev").isNotNull())
     pairs = known.groupBy("_prev", "_tok").agg(F.count(F.lit(1)).alias("_c"))
     froms = pairs.groupBy("_prev").agg(F.sum("_c").alias("_t"))

@@ -121,7 +121,7 @@ def root_causes(events: DataFrame, predictions: DataFrame | None = None) -> Data
     )
 
 
-def causal_chain(events: DataFrame, width_s: int = O.DAY) -> DataFrame:
+def causal_chain(events: DataFrame) -> DataFrame:
     """One row per event of a group with its position and role.
 
     The root triggers; everything strictly between the first and the last event
@@ -129,7 +129,7 @@ def causal_chain(events: DataFrame, width_s: int = O.DAY) -> DataFrame:
     """
     ev = _stamped(events)
     g = group_roots(ev).select("corr_key", "n_events", F.col("root.event_id").alias("_root"), "first", "last")
-    chain = O.ordinal(O.sliced(ev, "ts", width_s), ["corr_key"], ["ts", "layer_rank", "seq"], rn="position", total="_n").drop(O.SLICE, "_n")
+    chain = O.numbered(ev, ["corr_key"], ["ts", "layer_rank", "seq"], rn="position", total="_n").drop(O.SLICE, "_n")
     j = chain.join(g, "corr_key")
     inner = (F.col("n_events") > 2) & (_order() != F.col("first")) & (_order() != F.col("last"))
     role = F.when(inner, "contributing_factor").when(F.col("event_id") == F.col("_root"), "trigger").otherwise("symptom")

@@ -80,7 +80,7 @@ def transaction_key() -> Column:
     return F.concat_ws("_", F.lower("layer"), "procedure", "ue_id")
 
 
-def pair(messages: DataFrame, width_s: int = O.DAY) -> DataFrame:
+def pair(messages: DataFrame) -> DataFrame:
     """Outcome of every message by looking one message back and ahead in its transaction.
 
     open -> answered / superseded (another request came first) / timeout (log ended);
@@ -88,7 +88,7 @@ def pair(messages: DataFrame, width_s: int = O.DAY) -> DataFrame:
     ``open_ts`` is the time of the request a match closes.
     """
     m = messages.withColumns({"class": role_class(F.col("role")), "tx_key": transaction_key()})
-    m = O.sliced(m.where(F.col("class").isNotNull()), "ts", width_s)
+    m = O.sliced(m.where(F.col("class").isNotNull()), ["tx_key"], ["ts", "seq"])
     m = O.neighbours(
         m, ["tx_key"], ["ts", "seq"], prev={"prev_class": "class", "prev_ts": "ts"}, nxt={"next_class": "class"}
     )

@@ -83,12 +83,12 @@ def _boll(frame: str) -> str:
 
 @query("sbo1", f"WITH {COUNTERS_LONG_CTE}, {_boll('4 PRECEDING AND CURRENT ROW')} {_sel('bo')}")
 def sbo1(t: Tables):
-    return _out(D.detect_bollinger(t.counters_long, width_s=30 * 86400))
+    return _out(D.detect_bollinger(t.counters_long))
 
 
 @query("sbo1_lagged", f"WITH {COUNTERS_LONG_CTE}, {_boll('5 PRECEDING AND 1 PRECEDING')} {_sel('bo')}")
 def sbo1_lagged(t: Tables):
-    return _out(D.detect_bollinger(t.counters_long, lagged=True, width_s=30 * 86400))
+    return _out(D.detect_bollinger(t.counters_long, lagged=True))
 
 
 @query("smg1", f"""WITH {COUNTERS_LONG_CTE}, {COUNTER_DIM_CTE}, {STH}, {_peer(1.5)}, {_iqr(0.3)}, {TREND}, {CUSUM}, {_boll('5 PRECEDING AND 1 PRECEDING')},
@@ -100,7 +100,7 @@ def sbo1_lagged(t: Tables):
  QUALIFY row_number() OVER (PARTITION BY metric, cell_id ORDER BY {SEV} DESC, place) = 1""")
 def smg1(t: Tables):
     opts = {D.PEER: {"z_threshold": 1.5}, D.IQR: {"k": 0.3}, D.TREND: {"slope_threshold": 1e-6}, D.CUSUM: {"threshold": 1.2},
-            D.BOLLINGER: {"lagged": True, "width_s": 30 * 86400}}
+            D.BOLLINGER: {"lagged": True}}
     out = D.detect_counters(t.counters_long, options=opts)
     return out.select("label", "cell_id", "value", "severity", rnd("score", 4).alias("score"), "detector")
 

@@ -192,7 +192,7 @@ def nrm9(t: Tables):
  ROWS UNBOUNDED PRECEDING) AS dl_prb_util FROM g""")
 def drv1(t: Tables):
     gappy = t.counters.withColumn("dl_prb_util", F.when(F.col("seq") % 3 == 0, F.col("dl_prb_util")))
-    filled = V.forward_fill(gappy, ["dl_prb_util"], order=("seq", "dl_bler"), width=20_000_000_000)
+    filled = V.forward_fill(gappy, ["dl_prb_util"], order=("seq", "dl_bler"))
     return filled.select("seq", "dl_prb_util")
 
 
@@ -201,7 +201,7 @@ def drv1(t: Tables):
  SELECT seq, CASE WHEN c >= 5 THEN {r('v - m', 3)} END AS dl_prb_util_baseline_delta, CASE WHEN c >= 5 THEN {r('v - m', 3)} END AS prb_baseline_delta,
  CASE WHEN c >= 5 THEN {r('b - mb', 3)} END AS dl_bler_baseline_delta FROM b""")
 def drv2(t: Tables):
-    out = V.rolling_baseline(t.counters, ["dl_prb_util", "dl_bler"], order=("ts", "seq", "dl_bler"), width_s=30 * 86400)
+    out = V.rolling_baseline(t.counters, ["dl_prb_util", "dl_bler"], order=("ts", "seq", "dl_bler"))
     return out.select("seq", "dl_prb_util_baseline_delta", "dl_bler_baseline_delta", "prb_baseline_delta")
 
 

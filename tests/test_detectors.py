@@ -15,6 +15,16 @@ T0 = dt.datetime(2026, 6, 13, 10, 0, 0)
 SCHEMA = "cell_id string, gnb_id string, channel_type string, ts timestamp, seq bigint, prb_ul double, kpi string, value double"
 
 
+@pytest.fixture
+def short_slices(spark):
+    """Packed series in slices of at most seven rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    yield
+    spark.conf.set(key, before)
+
+
 def facts(spark, values, kpi=K.PRB_DL, cell="PCI_1", channel="TDD", step=60, prb_ul=None):
     return spark.createDataFrame(
         [(cell, "gNB-1", channel, T0 + dt.timedelta(seconds=step * i), i, prb_ul, kpi, v) for i, v in enumerate(values)], SCHEMA
@@ -43,11 +53,11 @@ def test_sustained_load(spark, values, severity, trigger):
         assert rows[0]["sustained_minutes"] == len(values)
 
 
-def test_run_breaks_on_gap_and_crosses_slices(spark):
+def test_run_breaks_on_gap_and_crosses_slices(spark, short_slices):
     f = facts(spark, [85.0] * 6, step=91)
     assert D.sustained_load(f).count() == 0
     long = facts(spark, [85.0] * 300)
-    rows = D.sustained_load(long, width_s=600).collect()
+    rows = D.sustained_load(long).collect()
     assert len(rows) == 1 and rows[0]["sustained_minutes"] == 300
 
 
@@ -91,10 +101,10 @@ def reference_cusum(vals, k=0.5, ref=None):
 
 
 @pytest.mark.parametrize("ref", [None, 20, 500])
-def test_cusum_closed_form_equals_recursion(spark, ref):
+def test_cusum_closed_form_equals_recursion(spark, short_slices, ref):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.normal(50, 5, 120), rng.normal(60, 5, 80)])
-    got = D.cusum_path(facts(spark, [float(v) for v in vals], "Latency_ms"), reference_window=ref, width_s=900).orderBy("seq").toPandas()
+    got = D.cusum_path(facts(spark, [float(v) for v in vals], "Latency_ms"), reference_window=ref).orderBy("seq").toPandas()
     np.testing.assert_allclose(got[["s_pos", "s_neg"]].to_numpy(), reference_cusum(vals, ref=ref), atol=1e-9)
 
 
@@ -117,7 +127,7 @@ def test_trend_is_fleet_wide(spark):
 
 def test_bollinger_lag_and_worst(spark):
     vals = [10.0, 11.0, 10.0, 11.0, 10.0, 40.0, 10.0, 10.0, 90.0]
-    rows = D.detect_bollinger(facts(spark, vals, "Latency_ms"), block=5).collect()
+    rows = D.detect_bollinger(facts(spark, vals, "Latency_ms")).collect()
     assert [(r["value"], r["severity"]) for r in rows] == [(90.0, "High")]
     assert D.detect_bollinger(facts(spark, vals[:5], "Latency_ms")).count() == 0
 
@@ -184,13 +194,13 @@ def test_nan_and_bad_time_become_null(spark):
 
 def test_forward_fill_keeps_leading_gap(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([None, 1.0, None, 3.0, None])], "cell_id string, seq bigint, m double")
-    out = V.forward_fill(df, ["m"], width=2).orderBy("seq").collect()
+    out = V.forward_fill(df, ["m"], rows=2).orderBy("seq").collect()
     assert [r["m"] for r in out] == [None, 1.0, 1.0, 3.0, 3.0]
 
 
 def test_baseline_needs_five_and_looks_back_sixty(spark):
     rows = [("a", T0 + dt.timedelta(minutes=i), i, float(i)) for i in range(70)]
     df = spark.createDataFrame(rows, "cell_id string, ts timestamp, seq bigint, dl_prb_util double")
-    out = V.rolling_baseline(df, width_s=600, block=64).orderBy("seq").collect()
+    out = V.rolling_baseline(df, block=64).orderBy("seq").collect()
     assert out[3]["dl_prb_util_baseline_delta"] is None and out[4]["dl_prb_util_baseline_delta"] == 2.0
     assert out[69]["dl_prb_util_baseline_delta"] == 29.5 == out[69]["prb_baseline_delta"]

@@ -54,7 +54,7 @@ def test_correlation_equals_brute_force(spark):
         for i in range(400)
     ]
     ev = E.event_log([E.to_events(spark.createDataFrame(rows, A))])
-    got = {r["seq"]: set(r["correlated_sources"]) for r in E.correlate(ev, width_s=3600).collect()}
+    got = {r["seq"]: set(r["correlated_sources"]) for r in E.correlate(ev, rows=2).collect()}
     raw = [(r[1], r[0], r[2], r[3]) for r in rows]
     for seq, src, ts, cell in raw:
         near = {s for _, s, t, c in raw if c == cell and (t is None or ts is None or abs((t - ts).total_seconds()) <= 3600)}
