@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from radiolake.functions.columns import fixed_table
+
 # First payload byte -> layer, and the layers in stack order.
 LAYER_TAGS = {0x7E: "NAS", 0x3A: "NGAP", 0x2B: "RRC", 0x1A: "F1AP", 0x1B: "E1AP", 0x1C: "XnAP"}
 LAYERS = ["NAS", "NGAP", "RRC", "F1AP", "E1AP", "XnAP"]
@@ -35,83 +37,94 @@ NAS_MESSAGES = {
     0xD3: ("NAS_PDUSession_Release", "reject"), 0xD4: ("NAS_PDUSession_Release", "complete"),
 }
 
-# Procedure names by code, numbered from 1 in this order.
+# Procedure code -> procedure, per layer.
 PROCEDURES = {
-    "NGAP": [
-        "InitialContextSetup", "PDUSessionResourceSetup", "PDUSessionResourceRelease", "UEContextRelease",
-        "HandoverPreparation", "NGSetup", "Paging", "UEContextModification", "PathSwitchRequest",
-    ],
-    "RRC": ["Setup", "Reestablishment", "Reconfiguration", "Release", "SecurityMode", "UECapabilityEnquiry"],
-    "F1AP": [
-        "F1Setup", "UEContextSetup", "UEContextModification", "UEContextRelease", "DLRRCMessageTransfer",
-        "ULRRCMessageTransfer", "InitialULRRCMessageTransfer", "Paging", "gNBDUConfigurationUpdate",
-        "gNBCUConfigurationUpdate", "UEContextModificationRequired", "ErrorIndication", "SRBSetup", "DRBSetup",
-    ],
-    "E1AP": [
-        "GNBCUUPSetup", "BearerContextSetup", "BearerContextModification", "BearerContextRelease",
-        "BearerContextStatusNotification", "DLDataNotification", "GNBCUCPConfigurationUpdate",
-        "GNBCUUPConfigurationUpdate", "ULDataNotification", "DataUsageReport", "GNBCUUPCounterCheck",
-        "ResourceStatusRequest", "IABUPConfigurationUpdate", "ErrorIndication",
-    ],
-    "XnAP": [
-        "XnSetup", "HandoverRequest", "XnUEContextRelease", "RANPaging", "SecondaryNodeAddition",
-        "SecondaryNodeModification", "SecondaryNodeRelease", "CellActivation", "SONConfiguration",
-        "RNL_InformationTransfer", "RRCTransfer", "SNodeAdditionRequestAcknowledge", "SNodeReleaseRequest",
-        "ErrorIndication",
-    ],
+    "NGAP": {
+        1: "NGAP_InitialContextSetup", 2: "NGAP_PDUSessionResourceSetup", 3: "NGAP_PDUSessionResourceRelease",
+        4: "NGAP_UEContextRelease", 5: "NGAP_HandoverPreparation", 6: "NGAP_NGSetup", 7: "NGAP_Paging",
+        8: "NGAP_UEContextModification", 9: "NGAP_PathSwitchRequest",
+    },
+    "RRC": {
+        1: "RRC_Setup", 2: "RRC_Reestablishment", 3: "RRC_Reconfiguration", 4: "RRC_Release", 5: "RRC_SecurityMode",
+        6: "RRC_UECapabilityEnquiry",
+    },
+    "F1AP": {
+        1: "F1AP_F1Setup", 2: "F1AP_UEContextSetup", 3: "F1AP_UEContextModification", 4: "F1AP_UEContextRelease",
+        5: "F1AP_DLRRCMessageTransfer", 6: "F1AP_ULRRCMessageTransfer", 7: "F1AP_InitialULRRCMessageTransfer",
+        8: "F1AP_Paging", 9: "F1AP_gNBDUConfigurationUpdate", 10: "F1AP_gNBCUConfigurationUpdate",
+        11: "F1AP_UEContextModificationRequired", 12: "F1AP_ErrorIndication", 13: "F1AP_SRBSetup",
+        14: "F1AP_DRBSetup",
+    },
+    "E1AP": {
+        1: "E1AP_GNBCUUPSetup", 2: "E1AP_BearerContextSetup", 3: "E1AP_BearerContextModification",
+        4: "E1AP_BearerContextRelease", 5: "E1AP_BearerContextStatusNotification", 6: "E1AP_DLDataNotification",
+        7: "E1AP_GNBCUCPConfigurationUpdate", 8: "E1AP_GNBCUUPConfigurationUpdate", 9: "E1AP_ULDataNotification",
+        10: "E1AP_DataUsageReport", 11: "E1AP_GNBCUUPCounterCheck", 12: "E1AP_ResourceStatusRequest",
+        13: "E1AP_IABUPConfigurationUpdate", 14: "E1AP_ErrorIndication",
+    },
+    "XnAP": {
+        1: "XnAP_XnSetup", 2: "XnAP_HandoverRequest", 3: "XnAP_XnUEContextRelease", 4: "XnAP_RANPaging",
+        5: "XnAP_SecondaryNodeAddition", 6: "XnAP_SecondaryNodeModification", 7: "XnAP_SecondaryNodeRelease",
+        8: "XnAP_CellActivation", 9: "XnAP_SONConfiguration", 10: "XnAP_RNL_InformationTransfer",
+        11: "XnAP_RRCTransfer", 12: "XnAP_SNodeAdditionRequestAcknowledge", 13: "XnAP_SNodeReleaseRequest",
+        14: "XnAP_ErrorIndication",
+    },
 }
 
-# Cause names.  NAS codes are sparse; the other layers count from 1.
+# NAS cause code -> cause.
 NAS_CAUSES = {
     0x02: "imsi-unknown-in-hss", 0x03: "illegal-ue", 0x06: "illegal-me", 0x07: "5gs-not-allowed",
     0x09: "ue-identity-not-derived", 0x0A: "implicitly-detached", 0x0B: "plmn-not-allowed",
     0x0C: "ta-not-allowed", 0x0F: "no-suitable-cells", 0x14: "mac-failure", 0x15: "auth-failure",
     0x16: "congestion", 0x1A: "semantically-incorrect-message", 0x5F: "protocol-error",
 }
+# Cause code -> cause, per layer.
 CAUSES = {
-    "NGAP": [
-        "radio-network-unspecified", "rl-failure-rlc", "unknown-local-ue-ngap-id", "inconsistent-remote-ue-ngap-id",
-        "handover-desirable-for-radio-reason", "time-critical-handover", "resource-optimisation-handover",
-        "reduce-load-in-serving-cell", "user-inactivity", "radio-connection-with-ue-lost",
-        "radio-resources-not-available", "invalid-qos-combination", "failure-in-radio-interface-procedure",
-        "interaction-with-other-procedure", "unknown-pdu-session-id", "unknown-qos-flow-id",
-        "multiple-pdu-session-id-instances", "multiple-qos-flow-id-instances",
-        "encryption-integrity-keys-not-available",
-    ],
-    "RRC": [
-        "other-failure", "handover-failure", "other-radio-link-failure", "rlf-report-available", "t310-expiry",
-        "random-access-problem", "rlc-max-num-retx", "t312-expiry",
-    ],
-    "F1AP": [
-        "radio-network-unspecified", "rl-failure-rlc", "unknown-or-already-allocated-gNBCU-UE-F1AP-ID",
-        "unknown-or-already-allocated-gNBDU-UE-F1AP-ID", "unknown-or-inconsistent-pair-of-UE-F1AP-ID",
-        "interaction-with-other-procedure", "not-supported-qci-value", "action-desirable-for-radio-reasons",
-        "no-radio-resources-available", "procedure-cancelled", "normal-release", "cell-not-available",
-        "rl-failure-others", "ue-rejection", "resources-not-available-for-the-slice",
-        "amf-initiated-abnormal-release", "release-due-to-pre-emption",
-    ],
-    "E1AP": [
-        "radio-network-unspecified", "unknown-or-already-allocated-gNBCUCPUEE1APID",
-        "unknown-or-already-allocated-gNBCUUPUEE1APID", "unknown-or-inconsistent-pair-of-UE-E1AP-ID",
-        "encryption-and-integrity-protection-algorithms-not-supported", "UE-context-release",
-        "UP-integrity-protection-not-possible", "UP-confidentiality-protection-not-possible",
-        "multiple-PDU-session-ID-instances", "unknown-PDU-session-ID", "multiple-QoS-flow-ID-instances",
-        "unknown-QoS-flow-ID", "multiple-DRB-ID-instances", "unknown-DRB-ID", "invalid-QoS-combination",
-        "not-supported-5QI-value", "NG-intra-system-handover-triggered", "NG-inter-system-handover-triggered",
-        "XN-handover-triggered", "not-supported-QCI-value", "PDU-session-resource-released",
-        "CU-UP-PDCP-count-wrap-around", "no-radio-resources-available", "resources-not-available-for-the-slice",
-        "PDU-session-resources-flushed-due-to-exceedance-of-max-data-rate", "PDCP-sequence-number-not-available",
-    ],
-    "XnAP": [
-        "radio-network-unspecified", "handover-desirable-for-radio-reasons", "time-critical-handover",
-        "resource-optimisation-handover", "reduce-load-in-serving-cell", "user-inactivity",
-        "radio-connection-with-UE-lost", "failure-in-radio-interface-procedure", "bearer-option-not-supported",
-        "MCG-mobility", "SCG-mobility", "count-reaches-max-value", "unknown-old-EN-DC-UE-X2AP-ID",
-        "pDCP-Change-with-PSCell-Change", "requested-item-not-supported-on-time",
-        "unknown-or-already-allocated-ng-ran-node-ue-xnap-id", "inconsistent-access-and-mobility-policy",
-        "inter-system-handover-triggered", "not-all-requested-PDU-sessions-can-be-forwarded",
-        "no-suitable-cells-in-target-cell-list",
-    ],
+    "NGAP": {
+        1: "radio-network-unspecified", 2: "rl-failure-rlc", 3: "unknown-local-ue-ngap-id",
+        4: "inconsistent-remote-ue-ngap-id", 5: "handover-desirable-for-radio-reason", 6: "time-critical-handover",
+        7: "resource-optimisation-handover", 8: "reduce-load-in-serving-cell", 9: "user-inactivity",
+        10: "radio-connection-with-ue-lost", 11: "radio-resources-not-available", 12: "invalid-qos-combination",
+        13: "failure-in-radio-interface-procedure", 14: "interaction-with-other-procedure",
+        15: "unknown-pdu-session-id", 16: "unknown-qos-flow-id", 17: "multiple-pdu-session-id-instances",
+        18: "multiple-qos-flow-id-instances", 19: "encryption-integrity-keys-not-available",
+    },
+    "RRC": {
+        1: "other-failure", 2: "handover-failure", 3: "other-radio-link-failure", 4: "rlf-report-available",
+        5: "t310-expiry", 6: "random-access-problem", 7: "rlc-max-num-retx", 8: "t312-expiry",
+    },
+    "F1AP": {
+        1: "radio-network-unspecified", 2: "rl-failure-rlc", 3: "unknown-or-already-allocated-gNBCU-UE-F1AP-ID",
+        4: "unknown-or-already-allocated-gNBDU-UE-F1AP-ID", 5: "unknown-or-inconsistent-pair-of-UE-F1AP-ID",
+        6: "interaction-with-other-procedure", 7: "not-supported-qci-value", 8: "action-desirable-for-radio-reasons",
+        9: "no-radio-resources-available", 10: "procedure-cancelled", 11: "normal-release", 12: "cell-not-available",
+        13: "rl-failure-others", 14: "ue-rejection", 15: "resources-not-available-for-the-slice",
+        16: "amf-initiated-abnormal-release", 17: "release-due-to-pre-emption",
+    },
+    "E1AP": {
+        1: "radio-network-unspecified", 2: "unknown-or-already-allocated-gNBCUCPUEE1APID",
+        3: "unknown-or-already-allocated-gNBCUUPUEE1APID", 4: "unknown-or-inconsistent-pair-of-UE-E1AP-ID",
+        5: "encryption-and-integrity-protection-algorithms-not-supported", 6: "UE-context-release",
+        7: "UP-integrity-protection-not-possible", 8: "UP-confidentiality-protection-not-possible",
+        9: "multiple-PDU-session-ID-instances", 10: "unknown-PDU-session-ID", 11: "multiple-QoS-flow-ID-instances",
+        12: "unknown-QoS-flow-ID", 13: "multiple-DRB-ID-instances", 14: "unknown-DRB-ID",
+        15: "invalid-QoS-combination", 16: "not-supported-5QI-value", 17: "NG-intra-system-handover-triggered",
+        18: "NG-inter-system-handover-triggered", 19: "XN-handover-triggered", 20: "not-supported-QCI-value",
+        21: "PDU-session-resource-released", 22: "CU-UP-PDCP-count-wrap-around", 23: "no-radio-resources-available",
+        24: "resources-not-available-for-the-slice",
+        25: "PDU-session-resources-flushed-due-to-exceedance-of-max-data-rate",
+        26: "PDCP-sequence-number-not-available",
+    },
+    "XnAP": {
+        1: "radio-network-unspecified", 2: "handover-desirable-for-radio-reasons", 3: "time-critical-handover",
+        4: "resource-optimisation-handover", 5: "reduce-load-in-serving-cell", 6: "user-inactivity",
+        7: "radio-connection-with-UE-lost", 8: "failure-in-radio-interface-procedure",
+        9: "bearer-option-not-supported", 10: "MCG-mobility", 11: "SCG-mobility", 12: "count-reaches-max-value",
+        13: "unknown-old-EN-DC-UE-X2AP-ID", 14: "pDCP-Change-with-PSCell-Change",
+        15: "requested-item-not-supported-on-time", 16: "unknown-or-already-allocated-ng-ran-node-ue-xnap-id",
+        17: "inconsistent-access-and-mobility-policy", 18: "inter-system-handover-triggered",
+        19: "not-all-requested-PDU-sessions-can-be-forwarded", 20: "no-suitable-cells-in-target-cell-list",
+    },
 }
 
 # Which message roles open, complete or fail a procedure.
@@ -160,13 +173,7 @@ PROC_DEFAULT_ADVICE = "Enable detailed tracing on the affected network function.
 def code_dim(spark: SparkSession) -> DataFrame:
     """(layer, kind, code, name, role): NAS messages, procedures of the other layers, causes of all."""
     rows = [("NAS", "message", c, p, r) for c, (p, r) in NAS_MESSAGES.items()]
-    rows += [
-        (layer, "message", i, f"{layer}_{name}", None)
-        for layer, names in PROCEDURES.items()
-        for i, name in enumerate(names, 1)
-    ]
+    rows += [(layer, "message", c, p, None) for layer, names in PROCEDURES.items() for c, p in names.items()]
     rows += [("NAS", "cause", c, n, None) for c, n in NAS_CAUSES.items()]
-    rows += [
-        (layer, "cause", i, name, None) for layer, names in CAUSES.items() for i, name in enumerate(names, 1)
-    ]
-    return spark.createDataFrame(rows, "layer string, kind string, code int, name string, role string")
+    rows += [(layer, "cause", c, n, None) for layer, names in CAUSES.items() for c, n in names.items()]
+    return fixed_table(spark, tuple(rows), "layer string, kind string, code int, name string, role string")

@@ -99,20 +99,19 @@ def rolling_backtest(series: DataFrame, freq: DataFrame | None = None, horizon_h
     )
 
 
-def _accumulated(rows: DataFrame, checks: DataFrame, ids: Sequence[str], oldest_first: bool) -> DataFrame:
-    """Running series sums at each check: rows carry the first check slot that includes them."""
-    x = F.col("x")
-    sums = rows.groupBy(*ids, "slot").agg(
-        F.count(F.lit(1)).alias("c"), F.sum(x).alias("sx"), F.sum("value").alias("sy"), F.sum(x * x).alias("sxx"),
-        F.sum(x * F.col("value")).alias("sxy"), F.max(F.struct("ts", "seq", "value")).alias("tail"), F.max("x").alias("xm"),
-    )
-    order = F.col("slot").asc() if oldest_first else F.col("slot").desc()
-    w = Window.partitionBy(*ids).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    cum = lambda c: F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(w).alias(c)
-    return sums.join(checks, [*ids, "slot"], "full").select(
-        *ids, "slot", "check_h", cum("c"), cum("sx"), cum("sy"), cum("sxx"), cum("sxy"),
-        F.max("tail").over(w).alias("tail"), F.max("xm").over(w).alias("xm"),
-    ).where(F.col("check_h").isNotNull())
+def _as_of(rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """Checks with the count, sums, newest time and last value of their series up to them.
+
+    Readings and check instants are one ordered table, and running sums are carried to the checks over slices of
+    bounded size: the work is linear in readings plus checks, and no reading meets a fault.
+    """
+    order = ["_at", "_kind", "ts", "seq"]
+    read = rows.select(*KEYS, F.col("x").alias("_at"), F.lit(0).alias("_kind"), "ts", "seq", "x", "value")
+    ask = checks.withColumns({"_at": F.col("check_h") + 1e-9, "_kind": F.lit(1)})
+    line = O.sliced(read.unionByName(ask, allowMissingColumns=True), KEYS, order)
+    sums = {"c": "if(_kind = 0, 1.0D, 0.0D)", "sx": "x", "sy": "value", "sxx": "x * x", "sxy": "x * value"}
+    spec = {n: ("sum", F.expr(e)) for n, e in sums.items()} | {"xm": ("max", F.col("x")), "tail": ("last", F.col("value"))}
+    return O.running(line, KEYS, order, spec).where("_kind = 1").select("truth_id", "part", "check_h", *spec)
 
 
 def lead_time(series: DataFrame, truth: DataFrame, freq: DataFrame | None = None, horizon_h: float = 4.0,
@@ -128,16 +127,12 @@ def lead_time(series: DataFrame, truth: DataFrame, freq: DataFrame | None = None
     rows = P.known(series)
     start = rows.agg(F.min(seconds("ts"))).scalar()
     rows = rows.withColumn("x", (seconds("ts") - start) / 3600.0)
-    j = truth.select("truth_id", *KEYS, "start_h", "end_h").join(rows.select(*KEYS, "ts", "seq", "x", "value"), KEYS)
     eps = 1e-9
-    ids = ["truth_id"]
     # checks before the fault: start - j * step
-    early = j.withColumn("slot", F.floor((F.col("start_h") - F.col("x")) / check_step_h + eps).cast("int")).where(F.col("slot") >= 1)
     last = F.floor(F.col("start_h") / check_step_h + eps).cast("int")
     checks = truth.where(last >= 1).withColumn("slot", F.explode(F.sequence(F.lit(1), last))).select(
-        "truth_id", "slot", (F.col("start_h") - F.col("slot") * check_step_h).alias("check_h")
+        "truth_id", *KEYS, F.lit("lead").alias("part"), (F.col("start_h") - F.col("slot") * check_step_h).alias("check_h")
     )
-    before = _accumulated(early, checks, ids, oldest_first=False).withColumn("part", F.lit("lead"))
     # checks away from every fault of the same series
     stop = F.greatest(F.col("start_h") - horizon_h, F.lit(0.5))
     count = F.ceil((stop - 0.5) / (2 * check_step_h) - eps).cast("int")
@@ -151,16 +146,14 @@ def lead_time(series: DataFrame, truth: DataFrame, freq: DataFrame | None = None
     grid = begun.unionByName(marks, allowMissingColumns=True).withColumn("_open", F.max("_end").over(so_far))
     grid = grid.where((F.col("_kind") == 1) & ~F.coalesce(F.col("_open") >= F.col("_at"), F.lit(False)))
     first = F.row_number().over(Window.partitionBy("truth_id").orderBy("slot"))
-    grid = grid.withColumn("_r", first).where(F.col("_r") <= max_clean).select("truth_id", "slot", "check_h")
-    late = j.withColumn("slot", F.greatest(F.lit(0), F.ceil((F.col("x") - 0.5) / (2 * check_step_h) - eps)).cast("int"))
-    away = _accumulated(late, grid, ids, oldest_first=True).withColumn("part", F.lit("clean"))
-    both = before.unionByName(away).where(F.col("c") >= min_rows)
+    grid = grid.withColumn("_r", first).where(F.col("_r") <= max_clean).select("truth_id", *KEYS, F.lit("clean").alias("part"), "check_h")
+    both = _as_of(rows, checks.unionByName(grid)).where(F.col("c") >= min_rows)
     both = P.with_horizon(both.join(truth, "truth_id"), freq, horizon_h).join(dim, "kpi", "left")
     slope = (F.col("c") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.col("c") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))
     ahead = F.col("xm") + F.col("freq_s") / 3600.0 * (F.col("h") + 1) / 2.0
     table = F.array(
         F.struct(F.lit("trend").alias("method"), (F.col("sy") / F.col("c") + slope * (ahead - F.col("sx") / F.col("c"))).alias("yhat")),
-        F.struct(F.lit("naive").alias("method"), F.col("tail.value").alias("yhat")),
+        F.struct(F.lit("naive").alias("method"), F.col("tail").alias("yhat")),
     )
     scored = both.select("*", F.inline(table)).withColumn("alarm", P.forecast_severity(F.col("yhat")).isin("High", "Critical"))
     found = scored.groupBy("truth_id", "method").agg(

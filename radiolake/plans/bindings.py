@@ -329,7 +329,7 @@ PAYLOAD_CTE = f"""payloads AS (
 CAUSE_CTE = values_cte(
     "cause_dim", ["layer", "cause_code", "cause_name"],
     [("NAS", c, n) for c, n in P.NAS_CAUSES.items()]
-    + [(layer, i, n) for layer, names in P.CAUSES.items() for i, n in enumerate(names, 1)],
+    + [(layer, c, n) for layer, names in P.CAUSES.items() for c, n in names.items()],
 )
 COUNTS_CTE = f"""{CLASSED_CTE}, cc AS (
  SELECT procedure, {{by}} CASE WHEN outcome = 'timeout' THEN 'timeout' WHEN outcome = 'failure' THEN coalesce(cause, 'unknown') END AS cause,

@@ -66,6 +66,53 @@ def test_trend_predicts_ahead_and_raises(spark):
     assert [(r["label"], r["severity"], r["state"], r["lead_time_h"]) for r in a] == [("dl_prb_util", "High", "predicted", 4.0)]
 
 
+def test_piecewise_without_breaks_is_the_straight_line(spark):
+    s = series(spark, [float(v) for v in np.random.default_rng(1).normal(50, 9, 60)])
+    line, none = P.forecast_trend(s).first(), P.forecast_piecewise(s, breaks=0).first()
+    for c in ("forecast", "forecast_high", "slope", "h", "n"):
+        assert none[c] == pytest.approx(line[c], rel=1e-7)
+    assert none["changes"] == []
+
+
+def test_piecewise_follows_planted_breaks(spark):
+    """Level until hour 40, then rising: the straight line misses the end, the pieces do not."""
+    rng = np.random.default_rng(2)
+    y = [20 + max(0, i - 40) * 1.5 + rng.normal(0, 0.3) for i in range(100)]
+    s = series(spark, y)
+    f, line = P.forecast_piecewise(s).first(), P.forecast_trend(s).first()
+    ahead = 20 + (99 + 2.5 - 40) * 1.5
+    assert abs(f["forecast"] - ahead) < 2 < abs(line["forecast"] - ahead)
+    assert f["slope"] == pytest.approx(1.5, abs=0.1) and len(f["changes"]) == 25
+    start = f["changes"][0]["x"]
+    near = [c["change"] for c in f["changes"] if 33 <= c["x"] - start + 99 * 0.8 / 25 <= 47]
+    assert sum(near) == pytest.approx(1.5, abs=0.3) and f["forecast_high"] - f["forecast"] < line["forecast_high"] - line["forecast"]
+    assert P.trend_path(P.forecast_piecewise(s)).count() == 4
+
+
+@pytest.mark.parametrize("breaks", [1, 4, 25])
+def test_hinge_fit_is_plain_ridge(breaks):
+    rng = np.random.default_rng(breaks)
+    u, v = np.sort(rng.random(300)), rng.normal(5, 2, 300)
+    knots = 0.8 * np.arange(1, breaks + 1) / breaks
+    seg = (u[:, None] >= knots[None, :]).sum(axis=1)
+    pieces = np.array([[g, (m := seg == g).sum(), u[m].sum(), (u[m] ** 2).sum(), v[m].sum(), (u[m] * v[m]).sum(), (v[m] ** 2).sum()] for g in np.unique(seg)])
+    fit, sse, dof = P.hinge_fit(pieces, knots, 0.1, np.abs(v).max(), 1)
+    design = np.column_stack([np.ones(300), u, np.maximum(u[:, None] - knots[None, :], 0)])
+    line = np.linalg.lstsq(design[:, :2], v, rcond=None)[0]
+    weight = ((v - design[:, :2] @ line) ** 2).mean() / (0.1 * np.abs(v).max()) ** 2
+    want = np.linalg.solve(design.T @ design + np.diag([0, 0] + [weight] * breaks), design.T @ v)
+    np.testing.assert_allclose(fit, want, rtol=1e-6, atol=1e-9)
+    assert sse == pytest.approx(((v - design @ want) ** 2).sum(), rel=1e-8) and 2 < dof < breaks + 2
+
+
+def test_piecewise_of_odd_series(spark):
+    assert P.forecast_piecewise(series(spark, range(23))).count() == 0
+    flat = P.forecast_piecewise(series(spark, [0.0] * 30)).first()
+    assert flat["forecast"] == pytest.approx(0, abs=1e-9)
+    same = series(spark, [1.0] * 30).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert P.forecast_piecewise(same).count() == 0
+
+
 def test_seasonal_beats_plain_on_a_cycle(spark):
     y = [50 + 20 * (i % 6 == 0) for i in range(72)]
     s = series(spark, y)
