@@ -110,15 +110,7 @@ class Tables:
     @cached_property
     def counters(self) -> DataFrame:
         """Binding B, wide: lineitem rows as radio counters."""
-        li = self.table("lineitem")
-        return li.select(
-            F.concat(F.lit("PCI_"), (F.col("l_suppkey") % 16 + 1).cast("string")).alias("cell_id"),
-            F.col("l_shipdate").alias("ts"),
-            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000003 + F.col("l_partkey")).alias("seq"),
-            (F.lit(2.0) * F.col("l_quantity")).alias("dl_prb_util"),
-            (F.lit(200.0) * F.col("l_discount")).alias("dl_bler"),
-            (F.lit(200.0) * F.col("l_tax")).alias("ul_bler"),
-        )
+        return counters_from_lineitem(self.table("lineitem"))
 
     @cached_property
     def counters_long(self) -> DataFrame:
@@ -160,6 +152,17 @@ class Tables:
         )
 
 
+def counters_from_lineitem(li: DataFrame) -> DataFrame:
+    return li.select(
+        F.concat(F.lit("PCI_"), (F.col("l_suppkey") % 16 + 1).cast("string")).alias("cell_id"),
+        F.col("l_shipdate").alias("ts"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000003 + F.col("l_partkey")).alias("seq"),
+        (F.lit(2.0) * F.col("l_quantity")).alias("dl_prb_util"),
+        (F.lit(200.0) * F.col("l_discount")).alias("dl_bler"),
+        (F.lit(200.0) * F.col("l_tax")).alias("ul_bler"),
+    )
+
+
 def kpi_from_events(ev: DataFrame) -> DataFrame:
     u = F.col("user_id")
     return ev.select(

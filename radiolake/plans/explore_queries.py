@@ -34,7 +34,13 @@ def src1(t: Tables):
 @query("src2", f"""WITH {COUNTERS_CTE} SELECT count(*) AS "rows", count(DISTINCT cell_id) AS n_cells,
  {r('avg(dl_prb_util)', 4)} AS prb, {r('avg(dl_bler)', 4)} AS bler FROM counters""")
 def src2(t: Tables):
-    return t.counters.agg(
+    """Counters written as a CSV export and read back by the reader."""
+    from radiolake.plans.bindings import counters_from_lineitem, instants
+
+    read = counters_from_lineitem(instants(readers.read_table(t.spark, f"{t.dir}/lineitem.parquet"))).drop("seq")
+    path = fresh_path(t.spark, "counter-export")
+    read.write.option("header", True).csv(path)
+    return readers.read_table(t.spark, path, "csv", read.schema).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("cell_id").alias("n_cells"),
         rnd(F.avg("dl_prb_util"), 4).alias("prb"), rnd(F.avg("dl_bler"), 4).alias("bler"),
     )

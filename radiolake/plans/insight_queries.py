@@ -18,16 +18,17 @@ from radiolake.operators import signalling as S
 from radiolake.plans.bindings import (
     COUNTERS_LONG_CTE, COUNTER_DIM_CTE, DIM_CTE, EVENTS_CTE, KPI_CTE, SEV, Tables, counts_cte, lit_list, values_cte,
 )
-from radiolake.plans.counter_queries import STH, _iqr, _peer
+from radiolake.plans.counter_queries import CUSUM, STH, TREND, _boll, _iqr, _peer
 from radiolake.plans.event_queries import correlated, log
 from radiolake.plans.kpi_queries import LIMITS
-from radiolake.plans.registry import query, r
+from radiolake.plans.registry import SQL, query, r
+from radiolake.plans.signalling_queries import RULES_SQL
+from radiolake.session import cut_lineage
 
 # ------------------------------------------------------------ detection quality
 
 FAULT_CTE = "fault AS (SELECT cell_id FROM kpi_long WHERE kpi = 'Latency_ms' GROUP BY cell_id ORDER BY count(*) DESC, cell_id LIMIT 3)"
 CELLS_CTE = "cells AS (SELECT DISTINCT cell_id FROM kpi_long)"
-THR_CTE = f"thr AS (SELECT * FROM (SELECT kpi, cell_id, channel_type, {LIMITS} AS severity FROM kpi_long JOIN kpi_dim USING (kpi)) WHERE severity = 'Critical' AND kpi LIKE 'PRB%')"
 FENCE_CTE = f"""qf AS (SELECT kpi, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM kpi_long GROUP BY kpi),
  iqr AS (SELECT DISTINCT cell_id FROM kpi_long k JOIN qf USING (kpi) JOIN kpi_dim d ON d.kpi = k.kpi WHERE CASE WHEN direction = 'lower_better' THEN value > q3 + 6 * (q3 - q1) ELSE value < q1 - 6 * (q3 - q1) END)"""
 
@@ -38,11 +39,6 @@ def faults(t: Tables):
     return n.orderBy(F.col("n").desc(), "cell_id").limit(3).select("cell_id")
 
 
-def threshold(t: Tables):
-    a = D.limits_generic(t.kpi)
-    return a.where((F.col("severity") == "Critical") & F.col("kpi").startswith("PRB"))
-
-
 def _lists(m):
     return m.select("tp", "fp", "fn", "tn", "precision", "recall", "f1",
                     *[F.array_join(c, ",").alias(c) for c in ("detected_fault_cells", "missed_fault_cells", "false_positive_cells")])
@@ -63,13 +59,30 @@ def evl4(t: Tables):
     return _lists(V.scenario_metrics(found, faults(t), t.kpi.select("cell_id")))
 
 
-@query("evl5", f"""WITH {KPI_CTE}, {DIM_CTE}, {THR_CTE}, {FENCE_CTE}, {COUNTERS_LONG_CTE}, {COUNTER_DIM_CTE}, {STH} SELECT DISTINCT 'threshold' AS method, cell_id FROM thr UNION ALL SELECT 'iqr', cell_id FROM iqr
- UNION ALL SELECT 'any', cell_id FROM (SELECT cell_id FROM thr UNION SELECT cell_id FROM iqr UNION SELECT cell_id FROM th WHERE severity IS NOT NULL)""")
+KPI_OPTIONS = {D.PEER: {"z_threshold": 1.5}, D.TREND: {"slope_threshold": 0.0005}, D.THRESHOLD: {"gap_s": 129600.0}}
+COUNTER_OPTIONS = {CD.PEER: {"z_threshold": 1.5}, CD.IQR: {"k": 0.3}, CD.TREND: {"slope_threshold": 1e-6}, CD.CUSUM: {"threshold": 1.2}, CD.BOLLINGER: {"lagged": True}}
+KPI_ALL = f"ka AS (SELECT * FROM ({SQL['kmg1']}))"
+COUNTER_ALL = f"""{STH}, {_peer(1.5)}, {_iqr(0.3)}, {TREND}, {CUSUM}, {_boll('5 PRECEDING AND 1 PRECEDING')}, ca_all AS (SELECT cell_id FROM th WHERE severity IS NOT NULL
+ UNION ALL SELECT cell_id FROM pe UNION ALL SELECT cell_id FROM ir UNION ALL SELECT cell_id FROM tf WHERE n >= 8 AND abs(s) >= 1e-6 UNION ALL SELECT cell_id FROM cu UNION ALL SELECT cell_id FROM bo)"""
+
+
+def kpi_alarms(t: Tables):
+    """Alarms of all six KPI detectors."""
+    return D.detect_kpi(t.kpi, options=KPI_OPTIONS)
+
+
+def counter_alarms(t: Tables):
+    """Alarms of all six counter detectors."""
+    return CD.detect_counters_each(t.counters_long, options=COUNTER_OPTIONS)
+
+
+@query("evl5", f"""WITH {KPI_ALL}, {COUNTERS_LONG_CTE}, {COUNTER_DIM_CTE}, {COUNTER_ALL} SELECT DISTINCT 'threshold' AS method, cell_id FROM ka WHERE detector = '{D.THRESHOLD}'
+ UNION ALL SELECT DISTINCT 'iqr', cell_id FROM ka WHERE detector = '{D.IQR}' UNION ALL SELECT 'any', cell_id FROM (SELECT cell_id FROM ka WHERE cell_id <> 'Fleet-wide' UNION SELECT cell_id FROM ca_all)""")
 def evl5(t: Tables):
-    thr, iqr = threshold(t), D.detect_iqr(t.kpi, k=6.0)
-    sth = CD.detect_threshold(t.counters_long)
+    """Cells found by one detector, and by any of the twelve."""
+    found = cut_lineage(kpi_alarms(t).groupBy("cell_id", "detector").agg(F.count(F.lit(1)).alias("n")), "found-cells")
     tag = lambda df, m: df.select(F.lit(m).alias("method"), "cell_id")
-    return tag(V.cells_of(thr), "threshold").union(tag(V.cells_of(iqr), "iqr")).union(tag(V.any_of(thr, iqr, sth), "any"))
+    return tag(V.cells_of(found, D.THRESHOLD), "threshold").union(tag(V.cells_of(found, D.IQR), "iqr")).union(tag(V.any_of(found, counter_alarms(t)), "any"))
 
 
 @query("evl5_correlated", f"WITH {EVENTS_CTE} SELECT DISTINCT cell_id FROM correlated WHERE n_correlated >= 2 AND cell_id <> '—'")
@@ -77,13 +90,10 @@ def evl5_correlated(t: Tables):
     return V.correlated_cells(correlated(t), 3)
 
 
-@query("evl6", f"""WITH {COUNTERS_LONG_CTE}, {COUNTER_DIM_CTE}, {STH}, {_peer(1.0)}, {_iqr(0.3)}, u AS (SELECT cell_id FROM th WHERE severity IS NOT NULL UNION ALL SELECT cell_id FROM pe UNION ALL SELECT cell_id FROM ir WHERE score > 20),
- c AS (SELECT cell_id, count(*) AS n FROM u GROUP BY cell_id) SELECT cell_id FROM c WHERE n > (SELECT avg(n) + 1.0 * stddev_pop(n) FROM c)""")
+@query("evl6", f"""WITH {COUNTERS_LONG_CTE}, {COUNTER_DIM_CTE}, {COUNTER_ALL}, c AS (SELECT cell_id, count(*) AS n FROM ca_all GROUP BY cell_id)
+ SELECT cell_id FROM c WHERE n > (SELECT avg(n) + 1.0 * stddev_pop(n) FROM c)""")
 def evl6(t: Tables):
-    f = t.counters_long
-    iqr = CD.detect_iqr(f, k=0.3)
-    a = CD.detect_threshold(f).unionByName(CD.detect_peers(f, z_threshold=1.0)).unionByName(iqr.where("score > 20"))
-    return V.count_outliers(a, z=1.0)
+    return V.count_outliers(counter_alarms(t), z=1.0)
 
 
 @query("evl7", f"""WITH {EVENTS_CTE}, a AS (SELECT coalesce(source, 'all') AS source, count(*) AS total, count(*) FILTER (WHERE n_correlated >= 1) AS clustered,
@@ -93,12 +103,13 @@ def evl7(t: Tables):
     return V.assignment_rate(correlated(t))
 
 
-@query("evl8", f"""WITH {KPI_CTE}, {DIM_CTE}, {FAULT_CTE}, a AS (SELECT 'Threshold' AS detector, substr(kpi, 1, 3) AS kpi_group, channel_type, cell_id IN (SELECT cell_id FROM fault) AS f
- FROM (SELECT *, {LIMITS} AS severity FROM kpi_long JOIN kpi_dim USING (kpi)) WHERE severity IS NOT NULL)
+@query("evl8", f"""WITH {KPI_CTE}, {KPI_ALL}, {FAULT_CTE}, ch AS (SELECT cell_id, min(channel_type) AS channel_type FROM kpi_long GROUP BY cell_id),
+ a AS (SELECT detector, substr(kpi, 1, 3) AS kpi_group, channel_type, cell_id IN (SELECT cell_id FROM fault) AS f FROM ka JOIN ch USING (cell_id))
  SELECT detector, kpi_group, channel_type, sum(f::INT)::BIGINT AS tp, sum((NOT f)::INT)::BIGINT AS fp FROM a GROUP BY GROUPING SETS ((detector), (detector, kpi_group), (detector, channel_type), (detector, kpi_group, channel_type))""")
 def evl8(t: Tables):
+    """True and false alarms of all six KPI detectors; fleet-wide alarms are of no cell and so neither."""
     channel = t.kpi.groupBy("cell_id").agg(F.min("channel_type").alias("channel_type"))
-    a = D.limits_generic(t.kpi).join(channel, "cell_id").withColumn("kpi_group", F.substring("kpi", 1, 3))
+    a = kpi_alarms(t).join(channel, "cell_id").withColumn("kpi_group", F.substring("kpi", 1, 3))
     return V.granular(a, faults(t)).drop("level")
 
 
@@ -154,12 +165,12 @@ def rca3(t: Tables):
     return C.root_causes(E.correlated_only(correlated(t))).select("corr_key", "root_seq", "n_events", "confidence")
 
 
-@query("rca4", f"""WITH {GROUP_CTE}, {RULES_CTE}, {values_cte('lab', ['lname', 'label'], R.LAYER_LABEL.items())}, x AS (SELECT * EXCLUDE (confidence), {RULE_SQL} AS rule FROM roots JOIN gn USING (corr_key))
+@query("rca4", f"""WITH {KPI_CTE}, {GROUP_CTE}, {RULES_CTE}, {values_cte('lab', ['lname', 'label'], R.LAYER_LABEL.items())}, x AS (SELECT * EXCLUDE (confidence), {RULE_SQL} AS rule FROM roots JOIN gn USING (corr_key))
  SELECT corr_key, 'Root cause: ' || category || ' at ' || coalesce(label, upper(layer)) || ' on cell ' || cell_id || '. ' || coalesce(descr || ' ', '') || 'This appears to have propagated to ' || (n_events - 1) || ' downstream anomaly(ies).' AS root_cause,
- coalesce(advice, '{R.NO_RULE_ADVICE}') || '{R.FORECAST_NOTE}' AS recommended_action FROM x LEFT JOIN rule_dim USING (rule) LEFT JOIN lab ON lname = upper(layer) WHERE cell_id <> '—'""")
+ coalesce(advice, '{R.NO_RULE_ADVICE}') || CASE WHEN cell_id IN (SELECT cell_id FROM kpi_long) THEN '{R.FORECAST_NOTE}' ELSE '' END AS recommended_action FROM x LEFT JOIN rule_dim USING (rule) LEFT JOIN lab ON lname = upper(layer)""")
 def rca4(t: Tables):
     ev = E.correlated_only(correlated(t))
-    out = C.root_causes(ev, predictions=t.kpi.select("cell_id")).where(F.col("cell_id") != "—")
+    out = C.root_causes(ev, predictions=t.kpi.select("cell_id"))
     return out.select("corr_key", "root_cause", "recommended_action")
 
 
@@ -271,20 +282,23 @@ def ret3_vectors(t: Tables):
     return vectors.select("doc_id", F.round(F.sqrt(squares), 6).alias("length"))
 
 
+PROC_RULES_SQL = RULES_SQL.replace("cell_id, ", "").replace(", cell_id", "")
+
+
 def proc_anomalies(t: Tables):
     return PD.detect_rules(S.procedure_counters(S.pair(t.messages))).withColumn("anomaly_id", F.col("procedure"))
 
 
-@query("exp1", f"WITH {counts_cte()} SELECT procedure, procedure || ' anomaly ' || procedure || ' ' || layer || coalesce(' cause: ' || top_cause, '') AS query FROM pc WHERE success_rate < 85")
+@query("exp1", f"WITH {counts_cte()}, {PROC_RULES_SQL} SELECT procedure, procedure || ' anomaly ' || procedure || ' ' || layer || coalesce(' cause: ' || top_cause, '') AS query FROM pc JOIN rules USING (procedure)")
 def exp1(t: Tables):
-    a = proc_anomalies(t).where("severity = 'High'").drop("evidence")
+    a = proc_anomalies(t).drop("evidence")
     return a.select("procedure", C.query_text(a).alias("query"))
 
 
-@query("exp2", f"""WITH {counts_cte()}, {values_cte('ch', ['cause', 'hint'], R.CAUSE_HINTS.items())}, {values_cte('lh', ['layer', 'a', 'b'], [(k, *v) for k, v in R.LAYER_HINTS.items()])}
- SELECT procedure AS anomaly_id, concat_ws('|', a, b, coalesce(hint, '{R.DEFAULT_CAUSE_HINT}'), '{R.CLOSING_HINT}') AS hints FROM pc JOIN lh USING (layer) LEFT JOIN ch ON ch.cause = top_cause WHERE success_rate < 85""")
+@query("exp2", f"""WITH {counts_cte()}, {PROC_RULES_SQL}, {values_cte('ch', ['cause', 'hint'], R.CAUSE_HINTS.items())}, {values_cte('lh', ['layer', 'a', 'b'], [(k, *v) for k, v in R.LAYER_HINTS.items()])}
+ SELECT procedure AS anomaly_id, concat_ws('|', a, b, coalesce(hint, '{R.DEFAULT_CAUSE_HINT}'), '{R.CLOSING_HINT}') AS hints FROM pc JOIN (SELECT DISTINCT procedure FROM rules) USING (procedure) JOIN lh USING (layer) LEFT JOIN ch ON ch.cause = top_cause""")
 def exp2(t: Tables):
-    a = proc_anomalies(t).where("severity = 'High'")
+    a = proc_anomalies(t).dropDuplicates(["procedure"])
     ids = a.select("anomaly_id", F.xxhash64("anomaly_id").alias("query_id"), C.query_text(a).alias("text"))
     docs = t.table("documents").select("doc_id", F.col("source").alias("spec"), F.col("lang").alias("section"), "text")
     hits = T.bm25_topk(ids.select("query_id", "text"), docs, 5).join(ids.select("query_id", "anomaly_id"), "query_id").join(docs, "doc_id")
@@ -331,9 +345,9 @@ def fbk3(t: Tables):
     return B.retrain(t.feedback).drop("status")
 
 
-@query("fbk4", f"{FBK3} SELECT detector, param, CASE WHEN param = 'k' THEN w ELSE v END AS value FROM y")
+@query("fbk4", f"{FBK3} SELECT detector, param, w AS value FROM y")
 def fbk4(t: Tables):
-    saved = B.save_params(B.retrain(t.feedback).where("param = 'k'"), "", dry_run=True)
+    saved = B.save_params(B.retrain(t.feedback), "", dry_run=True)
     return B.current_params(t.spark, saved)
 
 

@@ -36,6 +36,24 @@ def stm2(t: Tables):
     return J.drain(out, "stm2").select("tx_key", "seq", "outcome")
 
 
+STM2_JOIN = f"""WITH {CLASSED_CTE}, o AS (SELECT tx_key, seq, ts FROM classed WHERE class = 'open'), a AS (SELECT tx_key, seq AS answer_seq, ts AS answer_ts, class FROM classed WHERE class <> 'open'),
+ m AS (SELECT o.tx_key, o.seq, class AS outcome, answer_seq FROM o JOIN a ON o.tx_key = a.tx_key AND answer_ts >= ts AND answer_ts <= ts + INTERVAL 30 MINUTE),
+ w AS (SELECT least((SELECT max(ts) FROM o), (SELECT max(answer_ts) FROM a)) - INTERVAL 1 MINUTE AS upto)
+ SELECT * FROM m UNION ALL SELECT tx_key, seq, 'timeout', NULL FROM o, w WHERE ts + INTERVAL 30 MINUTE <= upto AND (tx_key, seq) NOT IN (SELECT (tx_key, seq) FROM m)"""
+
+
+@query("stm2_join", STM2_JOIN)
+def stm2_join(t: Tables):
+    """Messages arriving in four portions of time, one file and one micro-batch each; timeouts fire as event time goes on."""
+    inbox = fresh_path(t.spark, "stm2-inbox")
+    begin, end = (F.unix_micros(t.messages.agg(f("ts")).scalar()) for f in (F.min, F.max))
+    dealt = t.messages.withColumn("_part", F.floor((F.unix_micros("ts") - begin) * 4 / (end - begin + 1)))
+    for part in range(4):
+        dealt.where(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(inbox)
+    stream = J.read_stream(t.spark, inbox, t.messages.schema, files_per_trigger=1)
+    return J.drain(J.match_requests(stream, timeout_s=1800), "stm2-join").select("tx_key", "seq", "outcome", "answer_seq")
+
+
 @query("stm3", f"WITH {EVENTS_CTE} SELECT source, count(DISTINCT (cell_id, dedupe_name, dedupe_value, evidence, detector)) AS n FROM raw_events WHERE ts IS NOT NULL GROUP BY source")
 def stm3(t: Tables):
     ev = E.to_events(anomalies_from_events(event_stream(t))).drop("raw").where(F.col("ts").isNotNull())

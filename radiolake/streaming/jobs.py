@@ -105,6 +105,27 @@ def pair_requests(messages: DataFrame, timeout_s: int = 30, delay: str = "1 minu
     return m.groupBy("tx_key").applyInPandasWithState(step, PAIR_OUT, PAIR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def match_requests(messages: DataFrame, timeout_s: int = 30, delay: str = "1 minute") -> DataFrame:
+    """Requests with the answers that follow within ``timeout_s``; a request without one comes out as a timeout.
+
+    A left-outer join of two streams on the transaction and a time interval. Both sides have a watermark, so a
+    request is kept no longer than an answer may still come, and its outer row appears once event time has passed
+    it. A request with several answers has a row for each; rows later than the watermark take no part. Unlike
+    ``pair_requests``, it does not end a request by the next one, and no step holds a transaction's batch.
+    """
+    m = messages.withColumns({"class": role_class(F.col("role")), "tx_key": transaction_key()}).where(F.col("class").isNotNull())
+    asked = m.where("class = 'open'").select("tx_key", "seq", "ts").withWatermark("ts", delay)
+    answers = m.where("class <> 'open'").select(
+        F.col("tx_key").alias("_key"), F.col("seq").alias("answer_seq"), F.col("ts").alias("answer_ts"), F.col("class").alias("_class"), "cause"
+    ).withWatermark("answer_ts", delay)
+    near = F.expr(f"tx_key = _key AND answer_ts >= ts AND answer_ts <= ts + INTERVAL {int(timeout_s)} SECONDS")
+    out = asked.join(answers, near, "leftOuter")
+    return out.select(
+        "tx_key", "seq", "ts", F.coalesce("_class", F.lit("timeout")).alias("outcome"), "answer_seq", "answer_ts",
+        F.when(F.col("_class").isNull(), "timeout").when(F.col("_class") == "failure", F.coalesce("cause", F.lit("unknown"))).alias("cause"),
+    )
+
+
 def dedupe_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """First event of each content while the watermark remembers it."""
     key = ["source", "state", "lead_time_h", "cell_id", "_name", "_raw_value", "evidence", "detector"]
