@@ -29,8 +29,13 @@ t AS (SELECT source, source_size,
       FROM lv),
 p AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole FROM t),
 o AS (SELECT *, target - whole * source_size AS open FROM p),
-r AS (SELECT d.doc_id, d.size, o.source_size, o.target, o.whole, o.open, d.source,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size) AS upto FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source),
+cl AS (SELECT d.source, length(bin(d.size)) AS k, any_value(o.open) AS open, sum(d.size) AS words FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source WHERE o.open > 0 GROUP BY ALL),
+cw AS (SELECT *, sqrt(pow(2.0::DOUBLE, k)) AS mass, (open - coalesce(sum(words) OVER (PARTITION BY source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / nullif(sum(sqrt(pow(2.0::DOUBLE, k)) * words) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING), 0) AS level FROM cl),
+cs AS (SELECT source, arg_max(level, k) FILTER (WHERE level * mass <= 1) AS level FROM cw GROUP BY source),
+q AS (SELECT d.*, least(1.0::DOUBLE, level * sqrt(pow(2.0::DOUBLE, length(bin(size))))) AS rate FROM d LEFT JOIN cs ON d.source IS NOT DISTINCT FROM cs.source),
+r AS (SELECT q.doc_id, q.size, o.source_size, o.target, o.whole, o.open, q.source,
+             sum(q.size) OVER (PARTITION BY q.source ORDER BY (u / (1 - u)) * ((1 - rate) / rate), q.doc_id, q.size) AS upto FROM q JOIN o ON q.source IS NOT DISTINCT FROM o.source),
 b AS (SELECT source, upto AS nearest FROM (
         SELECT source, upto, row_number() OVER (PARTITION BY source ORDER BY abs(upto - open), upto) AS n
         FROM (SELECT source, upto, open FROM r UNION SELECT source, 0, open FROM r)) WHERE n = 1)

@@ -80,6 +80,23 @@ def test_targets_fill_up(spark):
     assert all(r.taken in (0, 10, 20) for r in out.values())
 
 
+def test_sizes_are_drawn_at_their_inclusion_probability(spark):
+    """One spec, half of its words open: 2 000 chunks of 4 words (class 3) and 2 000 of 64 (class 7)."""
+    out = by_id(mixing.mix_chunks(chunks(spark, [(k, "a", "w " * (4 if k % 2 else 64)) for k in range(4000)])))
+    small, large = 8.0**0.5, 128.0**0.5
+    level = 68_000 / (small * 8_000 + large * 128_000)
+    for odd, rate in ((1, level * small), (0, level * large)):
+        drawn = sum(r.copies == 2 for k, r in out.items() if k % 2 == odd)
+        assert abs(drawn - 2000 * rate) < 4 * (2000 * rate * (1 - rate)) ** 0.5
+    assert abs(sum(r.taken for r in out.values()) - 1.5 * 136_000) <= 32 and {r.copies for r in out.values()} == {1, 2}
+
+
+def test_certain_sizes_come_first(spark):
+    out = by_id(mixing.mix_chunks(chunks(spark, [(k, "a", "w " * (100 if k < 10 else 1)) for k in range(2010)])))
+    assert all(out[k].copies == 2 for k in range(10))
+    assert abs(sum(r.copies == 2 for k, r in out.items() if k >= 10) - 500) <= 1
+
+
 def test_mix_reruns_agree_and_odd_cases(spark):
     rows = [(k, random.Random(k).choice(["a", "b", None]), " ".join(["w"] * (k % 7))) for k in range(300)] + [(None, "a", "x y"), (None, "a", None), (5, "a", "dup dup")]
     df = chunks(spark, rows)
