@@ -169,14 +169,18 @@ def predict_languages(
 
 
 def keep_known(feedback: DataFrame, model: LanguageModel, comment: str = "comment") -> DataFrame:
-    """The rows, with all their columns, whose comment has a predicted language; null comments and comments without a letter go."""
+    """The rows, with all their columns, whose comment has a predicted language; null comments and comments without a letter go.
+
+    If the model knows no language, comments with a letter stay all the same.
+    """
     shared = feedback.sparkSession.sparkContext.broadcast((model.languages, model.log_prob, model.log_share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep: list[bool] = []
             for part in in_portions(((None, t or "") for t in batch.column(comment).to_pylist()), PORTION):
-                keep += [lang != UNKNOWN for lang in posterior(LanguageModel(*shared.value), [t for _, t in part])[0]]
+                texts, known = [t for _, t in part], LanguageModel(*shared.value)
+                keep += [lang != UNKNOWN for lang in posterior(known, texts)[0]] if len(known.languages) else [any(map(str.isalpha, t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return feedback.mapInArrow(run, feedback.schema)

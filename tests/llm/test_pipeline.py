@@ -98,3 +98,18 @@ def test_columns_and_run(spark, stages):
     names = list(stages[0][0].asDict())
     assert all(list(rows[0].asDict()) == names for rows in stages[1:5]) and list(stages[5][0].asDict()) == [*names, "copies"]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_empty_and_clashing_tables(spark):
+    """Every stage on no rows, and on rows without labels or benchmark hits, with columns named like the stages' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size int, copies string, taken int, root long, key string, part string"
+    more = (1, "c", 2, 3, "k", "p")
+    rows = [(1, "Some words of a text", None, "a", 20, *more), (2, None, None, None, None, *more), (3, "12", None, "a", 2, *more), (4, "ein anderer Satz hier", None, None, 21, *more)]
+    full = spark.createDataFrame(rows, schema)
+    for docs in (full, full.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = cut_lineage(stage(spark, docs, SF), "stage-odd")
+            assert docs.columns[: len(full.columns)] == full.columns, name
+        out = {r.doc_id: r for r in docs.collect()}
+        assert set(out) <= {1, 4} and all((r["size"], r["copies"], r["taken"], r["root"], r["key"], r["part"]) == more for r in out.values())
+        assert docs.columns[-1] == "_copies"
