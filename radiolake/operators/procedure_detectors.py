@@ -300,11 +300,11 @@ TREE_ROWS = 256
 def fit_forest(z: DataFrame, key: Column, trees: int = 200, seed: int = 42) -> DataFrame:
     """Trees grown in parallel, one group per tree of at most 256 rows.
 
-    A pool of at most trees * 256 rows is drawn by the order of a hash of key and row, so rows that
-    share a key enter independently; pool row i goes to the trees whose stretch of the (circular) pool covers it.
+    A pool of at most trees * 256 rows is drawn by the order of a hash of key and features, so rows that
+    share a key enter independently and another partitioning gives the same forest; pool row i goes to the trees whose stretch of the (circular) pool covers it.
     """
     pool_size = trees * TREE_ROWS
-    pool = z.select("x", F.xxhash64(key, F.lit(seed), F.monotonically_increasing_id()).alias("_h")).orderBy("_h").limit(pool_size)
+    pool = z.select("x", F.xxhash64(key, F.lit(seed), "x").alias("_h")).orderBy("_h").limit(pool_size)
     numbered = pool.select("x", "_h", (F.row_number().over(Window.orderBy("_h")) - 1).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_m"))
     all_trees = F.sequence(F.lit(0), F.lit(trees - 1))
     take = F.least(F.lit(TREE_ROWS), F.col("_m"))
