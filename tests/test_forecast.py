@@ -212,6 +212,19 @@ def test_stream_timeout_fires_on_event_time(spark, tmp_path):
     assert {(r["seq"], r["outcome"]) for r in out} >= {(0, "timeout"), (1, "timeout"), (2, "timeout"), (3, "orphan")}
 
 
+def test_stream_join_matches_and_times_out(spark, tmp_path):
+    """Answers within 30 s in the same or a later micro-batch, several answers to one request, late ones, and other transactions."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [
+        (0, 0, "request", "1", 0), (10, 1, "accept", "1", 0), (28, 2, "reject", "1", 0), (40, 3, "request", "2", 0), (69, 4, "accept", "2", 1), (71, 5, "accept", "2", 1),
+        (90, 6, "request", "3", 1), (95, 7, "accept", "4", 1), (100, 8, "request", "4", 1), (131, 9, "accept", "4", 2), (3600, 10, "request", "9", 2), (7200, 11, "accept", "8", 3), (7300, 12, "request", "8", 3),
+    ]
+    m = spark.createDataFrame([(at(a), b, "NAS", "P", c, d, "why" if c == "reject" else None, e) for a, b, c, d, e in rows], "ts timestamp, seq bigint, layer string, procedure string, role string, ue_id string, cause string, _part int")
+    out = J.drain(J.match_requests(stream_of(spark, tmp_path, m, 4), timeout_s=30), "t-join").collect()
+    got = sorted((r["seq"], r["outcome"], r["answer_seq"], r["cause"]) for r in out)
+    assert got == [(0, "failure", 2, "why"), (0, "success", 1, None), (3, "success", 4, None), (6, "timeout", None, "timeout"), (8, "timeout", None, "timeout"), (10, "timeout", None, "timeout")]
+
+
 def test_stream_cusum_over_batches_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(10)
     vals = np.concatenate([rng.normal(50, 5, 60), rng.normal(75, 5, 60)])
