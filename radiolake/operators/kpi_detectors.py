@@ -526,7 +526,7 @@ NO_SEQ = -(1 << 62)
 
 
 def _pass(slices: DataFrame, options: dict[str, dict]) -> DataFrame:
-    """What the ordered detectors find in each slice, written: at most a few rows per slice, besides long load runs."""
+    """What the ordered detectors find in each slice: at most a few rows per slice, besides long load runs."""
     parts = S.summaries(slices)
     dim = next(iter(options.values())).get("dim")
     kpis = slices.select(F.col(f"{KEY}.kpi").alias("kpi")).distinct()
@@ -544,7 +544,8 @@ def _pass(slices: DataFrame, options: dict[str, dict]) -> DataFrame:
     rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items() if c not in rows.columns})
     plain = {n: {k: v for k, v in o.items() if k != "dim"} for n, o in options.items()}
     kind = slices.schema[KEY].dataType.simpleString()
-    return cut_lineage(rows.mapInArrow(_detect(plain), f"{KEY} {kind}, {SLICE} bigint, {FOUND}"), "kpi-found")
+    found = rows.mapInArrow(_detect(plain), f"{KEY} {kind}, {SLICE} bigint, {FOUND}")
+    return found if len(options) == 1 and THRESHOLD not in options else cut_lineage(found, "kpi-found")  # read once: not written
 
 
 KPI_DETECTORS = {
